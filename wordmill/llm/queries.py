@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, packing, piece_bpe, quality, sharding, token_counts, token_store, toxicity
+from . import chat, embedding_dedup, ngram_join, packing, piece_bpe, quality, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -45,6 +45,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(_read(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), 2))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(_read(spark, sf_dir, "documents"), tokenizer(BYTE_BPE)))
 
