@@ -86,21 +86,22 @@ def measures(text: Column) -> dict[str, Column]:
     return {"w": found, "l": by_line, "word_chars": (F.length(whole) - count_of(whole, BLANKS)).cast("long"), "n_symbols": count_of(whole, SYMBOLS).cast("long")}
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its key and the measures."""
-    out = docs.select(F.col(key), *[c.alias(k) for k, c in measures(F.col(text)).items()])
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    flat = {"n_words": F.col("w.n_words"), "n_distinct": F.col("w.n_distinct"), "n_repeat_words": F.col("w.n_repeat_words"), "n_lines": F.col("l.n"), "n_dup_lines": F.col("l.dup")}
-    return out.withColumns(flat).select(key, *names, "n_distinct", "n_lines")
+def measured(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
+    """docs plus one struct column of measures."""
+    steps = {f"{into}_{k}": c for k, c in measures(F.col(text)).items()}
+    out, at = docs.withColumns(steps), F.col
+    w, x = at(f"{into}_w"), at(f"{into}_l")
+    named = {"n_words": w["n_words"], "word_chars": at(f"{into}_word_chars"), "n_symbols": at(f"{into}_n_symbols"), "n_dup_lines": x["dup"], "n_repeat_words": w["n_repeat_words"], "n_distinct": w["n_distinct"], "n_lines": x["n"]}
+    return out.withColumn(into, F.struct(*[c.alias(k) for k, c in named.items()])).drop(*steps)
 
 
 def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN).cast("int")
 
 
-def rules() -> dict[str, Column]:
+def rules(c: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """Votes over the measures: GOOD, BAD or ABSTAIN."""
-    n, c = F.col("n_words"), F.col
+    n = c("n_words")
     return {
         "length": _vote(n >= 50, n < 10),
         "word_length": _vote(c("word_chars").between(F.lit(4) * n, F.lit(7) * n), ~c("word_chars").between(F.lit(3) * n, F.lit(11) * n)),
@@ -146,27 +147,32 @@ def posterior(votes: tuple[int, ...], share: float, table: list[dict[int, tuple[
     return 1 / (1 + math.exp(min(700, b - a)))
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per document: key, the base measures, base_failed, quality (the
-    posterior), kept."""
-    rule = rules()
-    rows = Table(measured(docs, key, text), "quality").df.withColumns({f"vote_{k}": v for k, v in rule.items()})
-    votes = [f"vote_{k}" for k in rule]
-    counted = [(tuple(r[:-1]), r[-1]) for r in rows.groupBy(*votes).count().orderBy(*votes).collect()]  # at most 3 ** len(rules) rows
-    share, table = estimate(counted)
+def judged(docs: DataFrame, into: str = "__quality", text: str = "text", threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
+    """columns of docs (all of them by default) plus one struct column: the
+    measures, base_failed, quality (the posterior) and kept. The texts are
+    measured once, and those columns written with the measures."""
+    rows = Table(measured(docs, into, text).select(*(columns or docs.columns), into), "quality").df
+    rule = rules(lambda k: F.col(f"{into}.{k}"))
+    counted = rows.select(*[v.alias(k) for k, v in rule.items()]).groupBy(*rule).count().orderBy(*rule).collect()  # at most 3 ** len(rules) rows
+    share, table = estimate([(tuple(r[:-1]), r[-1]) for r in counted])
     odds = F.lit(math.log(share) - math.log1p(-share))
-    for v, seen in zip(votes, table, strict=True):
+    for v, seen in zip(rule.values(), table, strict=True):
         gain = {x: math.log(g) - math.log(b) for x, (g, b) in seen.items()}
-        odds = odds + F.when(F.col(v) == GOOD, gain[GOOD]).when(F.col(v) == BAD, gain[BAD]).otherwise(gain[ABSTAIN])
-    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    out = rows.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
-    return out.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
+        odds = odds + F.when(v == GOOD, gain[GOOD]).when(v == BAD, gain[BAD]).otherwise(gain[ABSTAIN])
+    n = F.col(f"{into}.n_words")
+    failed = (n < 10) | (F.col(f"{into}.n_repeat_words") * 100 > n * 20)
+    posterior_ = 1 / (1 + F.exp(-odds))
+    verdict = F.col(into).withField("base_failed", failed).withField("quality", posterior_).withField("kept", ~failed & (posterior_ >= threshold))
+    return rows.withColumn(into, verdict)
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """One row per document: key, the base measures, base_failed, quality, kept."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
+    out = judged(docs.select(key, F.col(text).alias("__text")), "__quality", "__text", threshold, [key])
+    return out.select(key, *[f"__quality.{k}" for k in names])
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents kept, with all their columns. Copies of a doc_id share the
-    verdict of their own text (the verdict is a function of the row's text)."""
-    key = "__text_key"
-    keyed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
-    passed = score(keyed.select(key, "text"), key).where("kept").select(key).distinct()
-    return keyed.join(passed, key, "left_semi").select(*docs.columns)
+    """The documents kept, with all their columns."""
+    return judged(docs).where("__quality.kept").select(*docs.columns)
