@@ -46,13 +46,15 @@ def propagate(rows: DataFrame, n_shards: int, total: int, rounds: int = 3) -> Da
     """rows plus unit (null for documents without links) and shard."""
     largest = max(2, min(LARGEST_UNIT, total // (8 * n_shards)))
     groups = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    unit = F.when(F.col("members") > 1, F.xxhash64("text_key", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / largest))))
-    now = Table(
-        rows.join(groups, "text_key", "left").select(*rows.columns, unit.alias("unit"), _part(n_shards, F.lit("shard"), F.col("doc_id"), F.col("text_key")).alias("shard")), "shards"
-    )
+    start = _part(n_shards, F.lit("shard"), F.col("doc_id"), F.col("text_key"))
+    unit = F.xxhash64("text_key", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / largest)))
+    found = rows.join(groups, "text_key", "left")
+    placed = Table(found.select(*rows.columns, F.when(F.col("members") > 1, unit).alias("unit"), start.alias("shard")), "shards").df
+    alone, now = placed.where("unit is null"), None
+    linked_rows = placed.where("unit is not null")
     quota = total // n_shards
     for k in range(rounds):
-        held = now.df.where("unit is not null").groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"))
+        held = linked_rows.groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"))
         load = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         best = held.groupBy("unit").agg(
             F.max_by("shard", F.struct("n", F.xxhash64("unit", "shard"))).alias("target"), F.sum("n").alias("members"), F.max("n").alias("there"), F.count(F.lit(1)).alias("spread")
@@ -66,10 +68,11 @@ def propagate(rows: DataFrame, n_shards: int, total: int, rounds: int = 3) -> Da
         allowed = F.element_at(F.create_map(*[F.lit(x) for s, r in room.items() for x in (s, float(r))]), F.col("target"))
         luck = F.pmod(F.xxhash64(F.lit(k), F.col("unit")), F.lit(1_000_003)) / 1_000_003
         moves = best.where(luck < allowed).select("unit", "target")
-        then = Table(now.df.join(moves, "unit", "left").select(*rows.columns, "unit", F.coalesce("target", "shard").alias("shard")), "shards")
-        now.drop()
-        now = then
-    return now.df
+        then = Table(linked_rows.join(moves, "unit", "left").select(*rows.columns, "unit", F.coalesce("target", "shard").alias("shard")), "shards")
+        if now is not None:
+            now.drop()
+        now, linked_rows = then, then.df
+    return alone.unionByName(linked_rows)
 
 
 def balance(rows: DataFrame, n_shards: int, total: int) -> DataFrame:
