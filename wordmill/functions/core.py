@@ -377,7 +377,7 @@ def word_delimiter(
         number = lambda x: x.rlike(f"^{DIGIT}+$")
 
         def step(a: Column, x: Column) -> Column:
-            at = F.locate(x, t["term"], a["next"])
+            at = F.call_function("locate", x, t["term"], a["next"])
             start = t["start_offset"] + F.octet_length(F.substring(t["term"], 1, at - 1))
             made = token(x, start, start + F.octet_length(x), t["position"] + F.size(a["out"]))
             return F.struct((at + F.length(x)).alias("next"), F.concat(a["out"], F.array(made)).alias("out"))

@@ -112,7 +112,7 @@ ELISIONS = {
 def elision(articles: str | list[str] = "l d qu m n s t") -> Filter:
     """A leading article and its apostrophe go; start_offset moves past them."""
     words = ELISIONS.get(articles, articles) if isinstance(articles, str) else articles
-    words = words.split() if isinstance(words, str) else words
+    words = words.replace(",", " ").split() if isinstance(words, str) else words
 
     def one(t: Column) -> Column:
         head = F.regexp_extract(t["term"], "(?s)^[^'’]*['’](?=.)", 0)

@@ -182,7 +182,7 @@ def fingerprint(separator: str = " ", max_bytes: int = 1024) -> Filter:
     def run(ts: Column) -> Column:
         text = F.array_join(F.array_sort(F.array_distinct(terms(ts))), separator)
         whole = token(text, F.get(ts, F.lit(0))["start_offset"], F.element_at(ts, -1)["end_offset"], F.lit(0))
-        return F.when((F.size(ts) == 0) | (F.octet_length(text) > max_bytes), F.array().cast(TOKENS)).otherwise(F.array(whole))
+        return F.when(ts.isNotNull(), F.when((F.size(ts) == 0) | (F.octet_length(text) > max_bytes), F.array().cast(TOKENS)).otherwise(F.array(whole)))
 
     return lambda tokens: let(tokens, run)
 

@@ -233,7 +233,7 @@ def credit_card_mask(char: str = "*", visible_start: int = 4, visible_end: int =
     def run(t: Column) -> Column:
         def masked(d: Column) -> Column:
             card = F.concat(F.left(d, F.lit(visible_start)), F.repeat(F.lit(char), F.length(d) - visible_start - visible_end), F.right(d, F.lit(visible_end)))
-            return F.when(F.length(d).between(13, 19) & F.luhn_check(d), card).otherwise(t)
+            return F.when(F.length(d).between(13, 19) & F.call_function("luhn_check", d), card).otherwise(t)
 
         return let(_digits(t), masked)
 

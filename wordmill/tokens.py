@@ -128,18 +128,24 @@ class Memo(dict):
         return out
 
 
-def python_terms(fn: Callable[[str], str | None]) -> Filter:
-    """For rules that columns can't express: terms go to Arrow batches by the
-    array, and fn runs once per distinct term in a worker. None drops the token."""
+def _by_term(fn: Callable, kind: str):
+    """An Arrow function over arrays of terms."""
 
-    @F.pandas_udf(STRINGS)
+    @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = Memo(fn)
         for terms in batches:
             yield terms.map(lambda own: None if own is None else [memo[t] for t in own])
 
+    return run
+
+
+def python_terms(fn: Callable[[str], str | None]) -> Filter:
+    """For rules that columns can't express: terms go to Arrow batches by the
+    array, and fn runs once per distinct term in a worker. None drops the token."""
+
     def apply(tokens: Column) -> Column:
-        new = run(F.transform(tokens, lambda t: t["term"]))
+        new = _by_term(fn, STRINGS)(F.transform(tokens, lambda t: t["term"]))
         out = F.transform(F.arrays_zip(tokens.alias("t"), new.alias("x")), lambda z: like(z["t"], z["x"]))
         return F.filter(out, lambda t: t["term"].isNotNull())
 
@@ -149,14 +155,8 @@ def python_terms(fn: Callable[[str], str | None]) -> Filter:
 def python_expand(fn: Callable[[str], list[str]]) -> Filter:
     """As python_terms, but each term becomes all of fn(term)."""
 
-    @F.pandas_udf(f"array<{STRINGS}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = Memo(fn)
-        for terms in batches:
-            yield terms.map(lambda own: None if own is None else [memo[t] for t in own])
-
     def apply(tokens: Column) -> Column:
-        new = run(F.transform(tokens, lambda t: t["term"]))
+        new = _by_term(fn, f"array<{STRINGS}>")(F.transform(tokens, lambda t: t["term"]))
         return F.flatten(F.transform(F.arrays_zip(tokens.alias("t"), new.alias("x")), lambda z: F.transform(z["x"], lambda x: like(z["t"], x))))
 
     return apply
