@@ -34,7 +34,7 @@ class Tokenizer:
     def __call__(self, text: Column, offsets: bool = True) -> Column:
         if self.native is not None and not offsets:
             nothing = F.lit(None).cast("int")
-            return F.transform(self.native(text), lambda t, i: token(t, nothing, nothing, i))
+            return F.when(text.isNotNull(), F.transform(self.native(text), lambda t, i: token(t, nothing, nothing, i)))
         return _scanned(self.scan)(text)
 
 
