@@ -111,3 +111,35 @@ def phonetic(encoder: str = "soundex", replace: bool = True) -> Filter:
 
 
 __all__ = ["inject", "one"]
+
+
+#: Letters and signs that follow each other, and the one that they make, as offsets into a script's block.
+#: Scripts: Devanagari D, Bengali B, Gurmukhi P, Gujarati J, Oriya O, Tamil T, Telugu E, Kannada K, Malayalam M; third: 00 none, FF a zero-width joiner.
+INDIC = """
+05 3E 45 11 DJ|05 3E 46 12 D|05 3E 47 13 DJ|05 3E 48 14 DJ|05 3E 00 06 DBPJO|05 45 00 72 D|05 45 00 0D J|05 46 00 04 D|05 47 00 0F J|05 48 00 10 PJ|05 49 00 11 DJ|05 4A 00 12 D
+05 4B 00 13 DJ|05 4C 00 14 DPJ|06 45 00 11 DJ|06 46 00 12 D|06 47 00 13 DJ|06 48 00 14 DJ|07 57 00 08 M|09 41 00 0A D|09 57 00 0A TM|0E 46 00 10 M|0F 45 00 0D D|0F 46 00 0E D
+0F 47 00 10 D|0F 57 00 10 O|12 3E 00 13 M|12 4C 00 14 EK|12 55 00 13 E|12 57 00 14 TM|13 57 00 14 O|15 3C 00 58 D|16 3C 00 59 DP|17 3C 00 5A DP|1C 3C 00 5B DP|21 3C 00 5C DBO
+22 3C 00 5D DBO|23 4D FF 7A M|24 4D FF 4E B|28 3C 00 29 D|28 4D FF 7B M|2B 3C 00 5E DP|2F 3C 00 5F DB|2C 41 41 0B E|30 3C 00 31 D|30 4D FF 7C M|32 4D FF 7D M|33 3C 00 34 D
+33 4D FF 7E M|35 41 00 2E E|3E 45 00 49 DJ|3E 46 00 4A D|3E 47 00 4B DJ|3E 48 00 4C DJ|3F 55 00 40 K|41 41 00 42 P|46 3E 00 4A TM|46 42 55 4B K|46 42 00 4A K|46 46 00 48 M
+46 55 00 47 EK|46 56 00 48 EK|46 57 00 4C TM|47 3E 00 4B BOTM|47 57 00 4C BO|4A 55 00 4B K|72 3F 00 07 P|72 40 00 08 P|72 47 00 0F P|73 41 00 09 P|73 42 00 0A P|73 4B 00 13 P
+"""
+SCRIPTS = "DBPJOTEKM"
+
+
+def _indic_table() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for row in INDIC.replace("\n", "|").strip("|").split("|"):
+        one, two, three, made, scripts = row.split()
+        for s in scripts:
+            at = lambda h, s=s: chr(0x900 + 0x80 * SCRIPTS.index(s) + int(h, 16))
+            third = {"00": "", "FF": "‍"}.get(three) if three in ("00", "FF") else at(three)
+            out.setdefault(at(one) + at(two) + third, at(made))
+    return out
+
+
+@token_filter()
+def indic_normalization() -> Filter:
+    """Sequences composed from left to right, longer ones first; then zero-width joiners go."""
+    table = _indic_table()
+    found = re.compile("|".join(sorted(table, key=len, reverse=True)))
+    return python_terms(lambda t: t if t.isascii() else re.sub("[‌‍]", "", found.sub(lambda m: table[m[0]], t)))

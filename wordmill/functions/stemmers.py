@@ -402,3 +402,36 @@ LANGUAGES = {
 @token_filter("stemmer")
 def stemmer_of(language: str = "english") -> Filter:
     return FILTERS[LANGUAGES[language.lower()]]()
+
+
+#: French endings: more than so many characters, ending, replacement, and whether the stem is then done.
+FRENCH = [
+    (5, "(?<!e)aux", "al", 0), (5, "x", "", 0), (3, "x", "", 0), (3, "s", "", 0), (9, "issement", "ir", 1), (8, "issant", "ir", 1), (6, "ivement", "if", 1), (6, "ement", "e", 1),
+    (11, "ficatrice", "fier", 1), (10, "ficateur", "fier", 1), (9, "catrice", "quer", 1), (8, "cateur", "quer", 1), (8, "atrice", "er", 1), (7, "ateur", "er", 1), (6, "trice", "teur", 0),
+    (5, "ième", "", 1), (7, "teuse", "ter", 1), (6, "teur", "ter", 1), (5, "euse", "eu", 1), (8, "ère", "er", 1), (7, "ive", "if", 1), (4, "([fm])olle", r"\1ou", 1), (9, "nnelle", "n", 1),
+    (9, "nnel", "n", 1), (4, "ète", "et", 0), (8, "ique", "", 0), (8, "esse", "e", 1), (7, "inage", "in", 1), (9, "ualisation", "uel", 1), (9, "isation", "", 1), (9, "isateur", "", 1), (8, "[ai]tion", "", 1),
+]
+
+
+def french_light(term: str) -> str:
+    word = term
+    for more, ending, to, done in FRENCH:
+        if len(word) > more and (new := re.sub(f"(?:{ending})$", to, word)) != word:
+            word = new
+            if done:
+                break
+    if len(word) > 4:
+        word = re.sub(r"([^\W\d_])\1+", r"\1", word.translate(str.maketrans("àáâôèéêùûîç", "aaaoeeeuuic")))
+        word = re.sub("ie$", "", word) if len(word) > 4 else word
+    if len(word) > 4:
+        word = re.sub(r"([^\W\d_])\1$", r"\1", re.sub("e$", "", re.sub("r$", "", word)))
+    return word
+
+
+@token_filter()
+def french_light_stem() -> Filter:
+    return python_terms(french_light)
+
+
+stemmer("spanish_minimal_stem", lambda t: F.when(~F.endswith(t, F.lit("s")), t).otherwise(in_turn(_folded("ñ", "n"), step((4, "eses", "es"), (3, "ces", "z"), (3, "es", ""), (0, "([ao])s", "$1")))(t)), 4)
+stemmer("galician_minimal_stem", step((3, "(?<=[^s])s", "")), 4)
