@@ -19,10 +19,11 @@ whole sequence; without words, nothing, and then it links with nothing.
    remains, or that hold only documents of its own component. Large groups are
    dealt out at random.
 4. So far some links can be missed. Two sets with 80 % overlap share a shingle
-   among the first 20 % (and one) of each, in any order common to both. All those
-   prefix shingles are therefore grouped once more, and where one holds documents
-   of different components they meet in a trie again: all links between
-   components are found, so components are exact.
+   among the first 20 % (and one) of each, in any order common to both, and of
+   twice as many they share half. All those prefix shingles are therefore grouped
+   once more; a document that shares too few of them with other components has no
+   link left, and where the rest of different components share one they meet in a
+   trie again: all links between components are found, so components are exact.
 
 Groups are bounded by their number of shingles; a larger one is dealt with in
 pairs of blocks. Shingles are 48-bit values of a 64-bit hash in steps 2 to 4 and
@@ -48,6 +49,7 @@ from pyspark.sql import functions as F
 from .common import Table, components, pack, pack_sorted, ship, unpack, unpack_sorted
 
 N, PERCENT = 5, 80
+ROUNDS = 4  # quick rounds before the exact one
 CHUNK = 200  # texts hashed at once
 BLOCK_TOKENS = 4_000_000  # shingles a task packs at once
 BUCKET_TOKENS = 3_000_000  # shingles of a bucket, on average
@@ -190,30 +192,49 @@ def _scatter(n_buckets: int):
     return run
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one bucket: for each document its shingles that others have too."""
-    all_tokens, all_docs, sure = [], [], []
-    for known, docs, tokens, owners in zip(*(table.column(c).to_pylist() for c in ("known", "docs", "tokens", "owners")), strict=True):
-        t, d = _unpacked(docs, tokens, owners)
-        all_tokens.append(t)
-        all_docs.append(d)
-        sure.append(np.full(len(t), known))
-    tokens, docs, sure = np.concatenate(all_tokens), np.concatenate(all_docs), np.concatenate(sure)
-    del all_tokens, all_docs
-    order = np.argsort(tokens[~sure], kind="stable")
-    open_tokens, open_docs = tokens[~sure][order], docs[~sure][order]
-    first = np.r_[True, open_tokens[1:] != open_tokens[:-1]] if len(open_tokens) else np.empty(0, bool)
-    segment = np.cumsum(first) - 1
-    many = np.bincount(segment, minlength=1) > 1
-    use = many[segment] & (open_docs != _WITNESS) if len(segment) else np.empty(0, bool)
-    tokens, docs = np.concatenate([tokens[sure], open_tokens[use]]), np.concatenate([docs[sure], open_docs[use]])
-    order = np.argsort(docs, kind="stable")
+def _shared(n_parts: int):
+    """Of one bucket: the shingles that several documents have, packed by part (a hash of the document)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        all_tokens, all_docs, sure = [], [], []
+        for known, docs, tokens, owners in zip(*(table.column(c).to_pylist() for c in ("known", "docs", "tokens", "owners")), strict=True):
+            t, d = _unpacked(docs, tokens, owners)
+            all_tokens.append(t)
+            all_docs.append(d)
+            sure.append(np.full(len(t), known))
+        tokens, docs, sure = np.concatenate(all_tokens), np.concatenate(all_docs), np.concatenate(sure)
+        del all_tokens, all_docs
+        order = np.argsort(tokens, kind="stable")
+        tokens, docs, sure = tokens[order], docs[order], sure[order]
+        # those that a task reported itself come besides a witness; of the others two make a shared one
+        opened = np.flatnonzero(~sure)
+        segment = np.cumsum(np.r_[True, tokens[opened][1:] != tokens[opened][:-1]]) - 1 if len(opened) else opened
+        many = np.bincount(segment, minlength=1) > 1
+        use = sure.copy()
+        use[opened] = many[segment] & (docs[opened] != _WITNESS) if len(opened) else False
+        tokens, docs = tokens[use], docs[use]
+        part = (_mixed(docs.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        rows = []
+        for p in np.unique(part).tolist():
+            own = np.flatnonzero(part == p)
+            names, owner = np.unique(docs[own], return_inverse=True)
+            rows.append({"part": p, "docs": pack_sorted(names.view(np.uint64)), "tokens": pack_sorted(tokens[own]), "owners": pack(owner.astype(np.uint32))})
+        return pa.Table.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("tokens", pa.binary()), ("owners", pa.binary())]))
+
+    return run
+
+
+def _collected(key: tuple, table: pa.Table) -> pa.Table:
+    """Of one part: each document's shared shingles, ascending."""
+    found = [_unpacked(*row) for row in zip(*(table.column(c).to_pylist() for c in ("docs", "tokens", "owners")), strict=True)]
+    tokens, docs = np.concatenate([t for t, _ in found]), np.concatenate([d for _, d in found])
+    order = np.lexsort((tokens, docs))
     tokens, docs = tokens[order], docs[order]
-    at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, np.int64)
-    ends = np.r_[at[1:], len(docs)] if len(at) else at
-    return pa.table(
-        {"doc_id": pa.array(docs[at]), "shared": pa.array((ends - at).astype(np.int64)), "tokens": pa.array([tokens[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary())}
-    )
+    new = np.r_[True, (docs[1:] != docs[:-1]) | (tokens[1:] != tokens[:-1])]
+    tokens, docs = tokens[new], docs[new]
+    at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    ends = np.r_[at[1:], len(docs)]
+    return pa.table({"doc_id": pa.array(docs[at]), "shared": pa.array((ends - at).astype(np.int64)), "tokens": pa.array([tokens[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
 
 class _Node:
@@ -351,55 +372,70 @@ def _blocks(rows: DataFrame, key: str, all_pairs: bool, seed: int) -> DataFrame:
     return dealt.select(key, "id", "n", "label", "side", "tokens", "low", "high").groupBy(key, "low", "high").applyInArrow(_meet, "a long, b long")
 
 
-def _prefixes(permutation: int | None):
-    """id, n, tokens (binary) -> one row per key: the least token under a
-    permutation, or (None) every token of the prefix."""
+def _least_tokens(seed: int):
+    """id, key: each set's least shingle under a permutation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, data = (c.to_pylist() for c in b.columns)
-            out_id, out_key = [], []
-            for i, n, x in zip(ids, sizes, data, strict=True):
-                tokens = np.frombuffer(x, np.uint64)
-                if permutation is None:
-                    keys = tokens[: max(0, n - _needed(n) + 1 - (n - len(tokens)))]
-                else:
-                    keys = tokens[[np.argmin(_mixed(tokens + np.uint64(permutation)))]]
-                out_key.append(keys.view(np.int64))
-                out_id.append(np.full(len(keys), i, np.int64))
-            none = np.empty(0, np.int64)
-            yield pa.record_batch({"id": pa.array(np.concatenate([none, *out_id])), "key": pa.array(np.concatenate([none, *out_key]))})
+            sets = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            keys = [int(t[np.argmin(_mixed(t + np.uint64(seed)))]) for t in sets]
+            yield pa.record_batch({"id": b.column(0), "key": pa.array(keys, pa.int64())})
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Collected parts of a document's tokens -> one ascending list."""
+def _common(n: int) -> int:
+    """Tokens that linked sets of n or more share at the least in their lists."""
+    return max(1, n // 5)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, key, first, least: each set's prefix (first) and _common(n) - 1 tokens
+    more. With so many more, two linked sets share as many of those listed as the
+    smaller set's _common says, and a linked set has at least _needed(n) tokens."""
     for b in batches:
-        ids, sizes, parts = (c.to_pylist() for c in b.columns)
-        sets = [np.unique(np.frombuffer(b"".join(p), np.uint64)) for p in parts]
-        use = [k for k in range(len(ids)) if len(sets[k]) >= _needed(sizes[k])]
-        yield pa.record_batch([pa.array([ids[k] for k in use], pa.int64()), pa.array([sizes[k] for k in use], pa.int64()), pa.array([sets[k].tobytes() for k in use], pa.binary())], names=["id", "n", "tokens"])
+        found = []
+        for i, n, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            tokens = np.frombuffer(x, np.uint64)
+            prefix = len(tokens) - _needed(n) + 1
+            keys = tokens[: prefix + _common(n) - 1].view(np.int64)
+            found.append((np.full(len(keys), i, np.int64), keys, np.arange(len(keys)) < prefix, np.full(len(keys), _common(_needed(n)))))
+        ids, keys, first, least = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64))
+        yield pa.record_batch({"id": pa.array(ids), "key": pa.array(keys), "first": pa.array(first), "least": pa.array(least)})
 
 
 def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """Links (a, b) between class representatives that hold components together."""
     n_buckets = max(1, -(-total // BUCKET_TOKENS))
-    found = docs.mapInArrow(_scatter(n_buckets), PACKED).groupBy("bucket").applyInArrow(_shared, FOUND)
-    shared = found.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.collect_list("tokens").alias("parts"))
+    n_parts = max(1, -(-total // (2 * BUCKET_TOKENS)))
+    found = docs.mapInArrow(_scatter(n_buckets), PACKED).groupBy("bucket").applyInArrow(_shared(n_parts), "part int, docs binary, tokens binary, owners binary")
+    shared = found.groupBy("part").applyInArrow(_collected, FOUND)
     left = shared.join(classes.select(F.col("id").alias("doc_id"), "n"), "doc_id").where(F.col("shared") * 100 >= F.col("n") * PERCENT)
-    sets = Table(left.select("doc_id", "n", "parts").mapInArrow(_merged, "id long, n long, tokens binary"), "shingle-sets").df
+    sets = Table(left.select(F.col("doc_id").alias("id"), "n", "tokens"), "shingle-sets").df
     links = None
-    for seed in (1, 2):
-        keys = sets.mapInArrow(_prefixes(seed), "id long, key long")
+    for seed in range(1, ROUNDS + 1):
+        keys = sets.mapInArrow(_least_tokens(seed), "id long, key long")
         met = Table(_blocks(sets.join(keys, "id").withColumn("label", F.col("id")), "key", False, seed), "links").df
         links = met if links is None else links.unionByName(met)
     tied = Table(components(links, "ngram-components"), "ngram-tied").df
     labels = sets.join(tied, "id", "left").select("id", "n", "tokens", F.coalesce("component_id", "id").alias("label"))
-    keys = Table(sets.mapInArrow(_prefixes(None), "id long, key long").join(labels.select("id", "label"), "id"), "prefixes").df
+    listed = sets.mapInArrow(_prefixes, "id long, key long, first boolean, least long")
+    open_ = Table(_torn(listed.join(labels.select("id", "label"), "id")), "prefixes").df
+    # only documents with enough tokens that other components hold too can have a link left
+    alive = open_.groupBy("id").agg(F.count(F.lit(1)).alias("held"), F.max("least").alias("least")).where("held >= least").select("id")
+    held = Table(_torn(open_.where("first").join(alive, "id", "left_semi")), "prefixes").df
+    # Keys of the same components are one: their documents need to meet only once. A set of
+    # components is told by a sum and an exclusive or of hashes, so none is collected.
+    hashed = held.select("key", "label").distinct().groupBy("key").agg(F.expr("bit_xor(xxhash64(label))").alias("x"), F.sum(F.xxhash64(F.lit(1), "label").cast("decimal(20, 0)")).alias("s"))
+    met = held.join(hashed.select("key", F.xxhash64("x", "s").alias("set")), "key").select(F.col("set").alias("key"), "id").distinct()
+    rest = met.join(labels, "id")
+    return links.unionByName(Table(_blocks(rest, "key", True, ROUNDS + 1), "links").df)
+
+
+def _torn(keys: DataFrame) -> DataFrame:
+    """The rows of those keys that documents of different components (label) hold."""
     torn = keys.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    rest = keys.join(torn, "key").select("key", "id").join(labels, "id")
-    return links.unionByName(Table(_blocks(rest, "key", True, 3), "links").df)
+    return keys.join(torn, "key")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
