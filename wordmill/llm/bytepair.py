@@ -1,11 +1,10 @@
 """Byte-level BPE ids from the tokenizers library, each distinct word encoded once.
 
-The pre-tokenizer of the vocabulary never joins a single space that stands
-between two non-space characters to the text before it, so a text may be cut in
-front of every such space without changing one id; ids of a text are the ids of
-its pieces in turn. Python's notion of white space contains the tokenizer's, so
-there can be fewer cuts, never wrong ones. A piece not seen before is split by
-the library's own pre-tokenizer pattern, and its words go to the library.
+The library splits a text into words by a fixed pattern and encodes each word by
+itself, so the ids of a text are the ids of its words in turn. Words are found
+here by the same pattern: for plain Latin text in a form for which Python's own
+engine has the same character classes, else by the pattern as published. The
+library encodes the words that a worker hasn't met yet, many in one call.
 """
 
 from __future__ import annotations
@@ -13,11 +12,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 
-_CUT = re.compile(r" (?=\S)(?<=\S )")
-_LARGEST = 500_000  # pieces or words kept by a worker; then it starts anew
+# Characters for which the plain form equals the published pattern.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ſ"
+_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LATIN}]*")
+_WORDS = re.compile(rf" ?[{_LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
+_LARGEST = 120_000  # words a worker keeps, and as many from before that it falls back on
 
 
 class Encoder:
@@ -31,32 +34,45 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words_of = regex.compile(public_tokenizers.PATTERN).findall
-        self.word: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}  # a text's first piece
-        self.later: dict[str, bytes] = {}  # a piece after a cut, without its space
-
-    def _learn(self, known: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        word, split = self.word, [self.words_of(lead + p) for p in pieces]
-        fresh = list(set().union(*split) - word.keys())
-        for start in range(0, len(fresh), 4096):
-            part = fresh[start : start + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                word[w] = array("I", e.ids).tobytes()
-        for p, words in zip(pieces, split, strict=True):
-            known[p] = b"".join([word[w] for w in words])
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.widths = np.array([len(name) for name in names])  # bytes of each token: a character of its name is a byte
+        self.published = regex.compile(public_tokenizers.PATTERN).findall
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def words(self, text: str) -> list[str]:
+        return _WORDS.findall(text) if _PLAIN.fullmatch(text) else self.published(text)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Words of a space and letters follow each other in one call: the pattern
+        parts them again, and the bytes of the tokens tell where. Others go one by one."""
+        known, runs, rest = self.known, [], []
+        for w in fresh:
+            (runs if w[0] == " " and w[1:].isalpha() else rest).append(w)
+        parts = [runs[k : k + 1000] for k in range(0, len(runs), 1000)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum([len(w.encode()) for w in part])
+            at = (4 * (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1)).tolist()
+            data = ids.tobytes()
+            known.update(zip(part, [data[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for known in (self.word, self.first, self.later):
-            if len(known) > _LARGEST:
-                known.clear()
-        cut = [_CUT.split(t) for t in texts]
-        heads = [c.pop(0) for c in cut]
-        self._learn(self.first, list(set(heads) - self.first.keys()), "")
-        self._learn(self.later, list(set().union(*cut) - self.later.keys()), " ")
-        first, later = self.first, self.later.__getitem__
-        return [first[h] + b"".join(map(later, c)) for h, c in zip(heads, cut, strict=True)]
+        if len(self.known) > _LARGEST:
+            self.older, self.known = self.known, {}
+        cut, fresh = [self.words(t) for t in texts], set()
+        has = self.known.__contains__
+        for words in cut:
+            fresh.update(filterfalse(has, words))
+        if fresh:
+            again = fresh & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            self._learn(list(fresh - again))
+        known = self.known.__getitem__
+        return [b"".join(map(known, c)) for c in cut]
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Number of ids of each text."""

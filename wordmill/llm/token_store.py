@@ -50,7 +50,7 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 class Writer:
     """Writes one file; add documents in their order, then close."""
 
-    def __init__(self, out, level: int = 3, frame_bytes: int = FRAME_BYTES):
+    def __init__(self, out, level: int = 1, frame_bytes: int = FRAME_BYTES):
         self.out, self.level, self.frame_bytes = out, level, frame_bytes
         self.table: list[tuple[int, int, int]] = []
         self.held: list[bytes] = []
