@@ -14,7 +14,11 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 def test_agenda_equals_library(text):
     own = piece_encoder(MODEL)
     assert own.encode(text) == own.library.encode(text)
-    assert list(own._encode_run(own.library.normalize(text))) == own.library.encode(text)
+    whole = own.library.normalize(text)
+    assert own._encode_run(whole) == own.library.encode(text)
+    if whole:
+        ids, ends = own._encode_words([whole, "▁the", whole])
+        assert [x.tolist() for x in (ids[: ends[0]], ids[ends[0] : ends[1]], ids[ends[1] :])] == [own.library.encode(x) for x in (text, "the", text)]
 
 
 def test_query_digests(odd_docs, odd_rows):

@@ -4,13 +4,13 @@ Encoding runs an agenda of adjacent symbol pairs ordered by the score of the
 piece that they form (ties: leftmost first): the best pair is merged, its two
 new neighbours enter the agenda, and entries whose symbols have changed since
 are skipped. Symbols that are no piece fall back to bytes. The text is first
-normalised by the vocabulary's own normaliser; it is then cut between characters
-that are neighbours in no piece, where no merge can reach across, and equal
-parts are encoded once in a worker.
+normalised by the vocabulary's own normaliser; it is then cut to words where no
+piece can reach across, equal words are encoded once in a worker, and the
+agendas of all new words of a batch run side by side in arrays.
 
-Every whole text's ids are checked against the sentencepiece library in the same
-Arrow batch; a difference is an error, never a wrong row. Null texts are empty:
-only the end id. Repeated rows are encoded row by row. An empty table gives no
+Every word that a worker meets is checked against the sentencepiece library in
+the Arrow batch that brings it (texts that can't be cut: whole); a difference is
+an error, never a wrong row. Null texts are empty: only the end id. Repeated rows are encoded row by row. An empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -20,7 +20,9 @@ import heapq
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import ship
 
 SPACE = "▁"  # fixed value: what the library writes for a space
-CHUNK = 128  # texts encoded at once in a worker
-_LARGEST = 500_000  # words or runs kept by a worker; then it starts anew
+CHUNK = 256  # texts encoded at once in a worker
+NEVER = 1 << 31  # rank of a pair that forms no piece
+UNKNOWN = 1 << 20  # symbols from here on are characters of no piece
+_LARGEST = 250_000  # words a worker keeps, and as many from before that it falls back on
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -44,87 +48,172 @@ class PieceEncoder:
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
-        scores = {}
+        scores: dict[str, float] = {}
         for i in range(len(lib)):
             if lib.is_byte(i):
                 self.bytes[int(lib.id_to_piece(i)[1:-1], 16)] = i
             elif not (lib.is_control(i) or lib.is_unknown(i)):
                 self.ids[lib.id_to_piece(i)] = i
-                scores[lib.id_to_piece(i)] = -lib.get_score(i)
-        self.cost = scores  # of a merge: less is better
+                scores[lib.id_to_piece(i)] = lib.get_score(i)
+        order = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {p: order[x] for p, x in scores.items()}  # of a merge: less is better, equal scores are equal
         self.unknown = lib.unk_id()
-        # Two characters that stand side by side in no piece can't be merged across.
-        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.by_word = not any(x[1] == SPACE != x[0] for x in self.joined)
+        self.single_space = [self.ids[SPACE]] if SPACE in self.ids else lib.encode(" ")[:1]  # a last space: an empty word, which the library drops when alone
+        # No piece holds a space mark after another character: words can't be merged across.
+        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        # Symbols are pieces and single characters of pieces, by number; pairs of them, the pieces they form.
+        names = [*self.ids, *sorted({c for p in self.ids for c in p} - self.ids.keys())]
+        self.names = names
+        number = {name: k for k, name in enumerate(names)}
+        pairs = sorted((number[p[:k]] << 22 | number[p[k:]], self.rank[p], number[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.pair_keys, self.pair_ranks, self.pair_symbols = (np.array([x[k] for x in pairs] or [-1], np.int64) for k in range(3))
+        chars = sorted((ord(name), k) for name, k in number.items() if len(name) == 1)
+        self.char_codes, self.char_symbols = np.array([c for c, _ in chars]), np.array([k for _, k in chars])
+        self.symbol_ids = np.full(UNKNOWN + 1, -1)
+        self.symbol_ids[: len(names)] = [self.ids.get(name, -1) for name in names]
         self.word_start = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.known_run: dict[str, tuple[int, ...]] = {}
-
-    def _encode_word(self, word: str) -> tuple[int, ...]:
-        """Cut to runs of characters that pieces can join, each encoded once."""
-        at = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joined), len(word)]
-        out: tuple[int, ...] = ()
-        for a, b in zip(at, at[1:], strict=False):
-            run = word[a:b]
-            if run not in self.known_run:
-                self.known_run[run] = self._encode_run(run)
-            out += self.known_run[run]
-        return out
-
-    def _encode_run(self, text: str) -> tuple[int, ...]:
-        cost, symbols = self.cost, list(text)
-        n = len(symbols)
+        # A word (without its leading space mark) -> its ids, four bytes each.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of the piece that two symbols form; NEVER where they form none."""
+        keys = left << 22 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        found = self.pair_keys[at] == keys
+        return np.where(found, self.pair_ranks[at], NEVER), self.pair_symbols[at]
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and where each text's end. The agendas of all of them run side by side: in a round,
+        each text's best pair, leftmost first, is merged and its neighbours ranked anew."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.char_codes, codes), len(self.char_codes) - 1)
+        symbol = np.where(self.char_codes[at] == codes, self.char_symbols[at], UNKNOWN + codes)
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        rank, into = self._pairs(symbol, np.append(symbol[1:], 0))
+        rank[np.append(word[1:] != word[:-1], True)] = NEVER
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            sizes = np.diff(np.append(starts, len(word)))
+            best = np.minimum.reduceat(rank, starts)
+            going = np.repeat(best < NEVER, sizes)
+            done.append((word[~going], symbol[~going]))
+            if not going.any():
+                break
+            best, word, symbol, rank, into = np.repeat(best, sizes)[going], word[going], symbol[going], rank[going], into[going]
+            hit = np.flatnonzero(rank == best)
+            hit = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])]
+            symbol[hit] = into[hit]
+            keep = np.ones(len(symbol), bool)
+            keep[hit + 1] = False
+            hit = hit - np.arange(len(hit))  # one position before each has gone for every earlier merge
+            word, symbol, rank, into = word[keep], symbol[keep], rank[keep], into[keep]
+            near = np.concatenate([hit, hit[hit > 0] - 1])
+            follower = np.minimum(near + 1, len(symbol) - 1)
+            fresh, made = self._pairs(symbol[near], symbol[follower])
+            fresh[(word[near] != word[follower]) | (near == follower)] = NEVER
+            rank[near], into[near] = fresh, made
+        word, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        word, symbol = word[order], symbol[order]
+        ids = self.symbol_ids[np.minimum(symbol, UNKNOWN)]
+        odd = np.flatnonzero(ids < 0)  # no pieces: each becomes the ids of its bytes
+        if len(odd):
+            names, kind = np.unique(symbol[odd], return_inverse=True)
+            found = [self._fallback(self.names[x] if x < UNKNOWN else chr(x - UNKNOWN)) for x in names.tolist()]
+            many = np.ones(len(ids), np.int64)
+            many[odd] = np.array([len(f) for f in found])[kind]
+            replaced = np.repeat(ids < 0, many)
+            ids, word = np.repeat(ids, many), np.repeat(word, many)
+            ids[replaced] = np.concatenate([found[k] for k in kind.tolist()])
+        return ids, np.searchsorted(word, np.arange(1, len(words) + 1))
+
+    def _fallback(self, character: str) -> list[int]:
+        return [self.bytes[x] for x in character.encode()] if self.bytes else [self.unknown]
+
+    def _merge(self, text: str) -> list[str]:
+        """The agenda of one text: a heap of rank and left end of adjacent pairs that form a piece."""
+        rank, symbols, n = self.rank.get, list(text), len(text)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-
-        def enter(left: int, right: int) -> None:
-            if left >= 0 and right < n and (c := cost.get(symbols[left] + symbols[right])) is not None:
-                heapq.heappush(agenda, (c, left, right, len(symbols[left]) + len(symbols[right])))
-
-        for k in range(n - 1):
-            enter(k, k + 1)
+        agenda = [r << 32 | k for k in range(n - 1) if (r := rank(text[k : k + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, size = heapq.heappop(agenda)
-            a, b = symbols[left], symbols[right]
-            if not a or not b or len(a) + len(b) != size or after[left] != right:
+            entry = heapq.heappop(agenda)
+            left = entry & 0xFFFFFFFF
+            right = after[left]
+            if right >= n or not symbols[left]:
                 continue
-            symbols[left], symbols[right] = a + b, ""
-            after[left] = after[right]
-            if after[right] < n:
-                before[after[right]] = left
-            enter(before[left], left)
-            enter(left, after[left])
+            merged = symbols[left] + symbols[right]
+            if rank(merged) != entry >> 32:
+                continue  # one of the two has changed since
+            symbols[left], symbols[right] = merged, ""
+            after[left] = follower = after[right]
+            if follower < n:
+                before[follower] = left
+                if (r := rank(merged + symbols[follower])) is not None:
+                    heapq.heappush(agenda, r << 32 | left)
+            leader = before[left]
+            if leader >= 0 and (r := rank(symbols[leader] + merged)) is not None:
+                heapq.heappush(agenda, r << 32 | leader)
+        return [s for s in symbols if s]
+
+    def _encode_run(self, text: str) -> list[int]:
         out: list[int] = []
-        for s in symbols:
+        for s in self._merge(text):
             if s in self.ids:
                 out.append(self.ids[s])
-            elif s:
-                out += [self.bytes[x] for x in s.encode()] if self.bytes else [self.unknown]
-        return tuple(out)
+            else:
+                out += self._fallback(s)
+        return out
 
-    def encode(self, text: str) -> list[int]:
+    def _learn(self, words: set[str]) -> None:
+        """Encode words (spaces mark themselves inside and lead each one), and check
+        them against the library."""
+        fresh = list(words)
+        ids, ends = self._encode_words([SPACE + w for w in fresh])
+        theirs = self.library.encode([w.replace(SPACE, " ") for w in fresh], num_threads=1)
+        if "" in words:
+            theirs[fresh.index("")] = self.single_space
+        if not (np.array_equal(np.cumsum([len(t) for t in theirs]), ends) and np.array_equal(np.fromiter(chain.from_iterable(theirs), np.int64), ids)):
+            raise Mismatch(next(w for w, t, a, b in zip(fresh, theirs, [0, *ends], ends, strict=False) if t != ids[a:b].tolist()))
+        data, at = ids.astype(np.uint32).tobytes(), (4 * ends).tolist()
+        self.known.update(zip(fresh, [data[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+
+    def _words(self, text: str) -> list[str]:
         whole = self.library.normalize(text)
-        if not self.by_word:
-            return list(self._encode_run(whole))
-        known, out = self.known, []
-        for held in (known, self.known_run):
-            if len(held) > _LARGEST:
-                held.clear()
-        for part in self.word_start.split(whole):
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = self._encode_word(part)
-            out += ids
-        return out
+        if SPACE + SPACE not in whole and whole.startswith(SPACE):
+            return whole[1:].split(SPACE)
+        return [w[1:] for w in self.word_start.split(whole)] if whole.startswith(SPACE) else None
 
     def encode_checked(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each whole text by the agenda, equal to the library's."""
-        out = [self.encode(t) for t in texts]
-        for own, theirs in zip(out, self.library.encode(texts, num_threads=1), strict=True):
-            if own != theirs:
-                raise Mismatch(f"{len(own)} ids, the library has {len(theirs)}")
+        """Ids of each whole text by the agenda. Every word is checked against the
+        library when a worker first meets it; a text that can't be cut to words is
+        checked whole."""
+        if len(self.known) > _LARGEST:
+            self.older, self.known = self.known, {}
+        cut, fresh = [self._words(t) if self.by_word and t else None for t in texts], set()
+        has = self.known.__contains__
+        for words in cut:
+            fresh.update(filterfalse(has, words or ()))
+        if fresh:
+            again = fresh & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            if fresh := fresh - again:
+                self._learn(fresh)
+        out, known = [], self.known.__getitem__
+        for text, words in zip(texts, cut, strict=True):
+            if words is not None:
+                out.append(np.frombuffer(b"".join(map(known, words)), np.uint32).tolist())
+                continue
+            out.append(self._encode_run(self.library.normalize(text)))
+            if out[-1] != self.library.encode(text):
+                raise Mismatch(f"{len(out[-1])} ids differ from the library's")
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_checked([text])[0]
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1)
 
