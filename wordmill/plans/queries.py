@@ -128,7 +128,7 @@ def queries() -> dict[str, Query]:
 
 _TAG = "case when {when} then [term, {tag}] else [term] end"
 _SIMPLE = {
-    "lowercase": "lower(term)", "uppercase": "upper(term)", "reverse": "reverse(term)", "truncate": "term[:10]", "char_count": None, "rot13": None,
+    "lowercase": "lower(term)", "uppercase": "upper(replace(term, 'ß', 'SS'))", "reverse": "reverse(term)", "truncate": "term[:10]", "char_count": None, "rot13": None,
     "hex_encode": "lower(hex(encode(term)))", "base64_encode": "base64(encode(term))", "url_encode": "url_encode(term)", "pad": "case when length(term) >= 8 then term else lpad(term, 8, '0') end",
     "repeat_char": "regexp_replace(term, '(.)', '\\1\\1', 'g')", "hyphenated_words": "case when length(term) > 1 and term like '%-' then term[:-2] else term end",
     "delimited_payload": None, "partial_mask": "case when length(term) <= 4 then term else term[:2] || repeat('*', length(term) - 4) || right(term, 2) end",
@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
     out["tok_keyword"] = "select n_nationkey::bigint as id, 0::bigint as ord, n_name as term, 0::bigint as start_offset, strlen(n_name) as end_offset, 0::bigint as position from nation"
     out["tok_edge_ngram"] = "select p_partkey as id, n - 1 as ord, p_name[:n] as term, 0::bigint as start_offset, strlen(p_name[:n]) as end_offset, n - 1 as position from part, range(1, 3) r(n) where n <= length(p_name)"
     out["norm_lowercase"] = "select doc_id as id, lower(text) as text from documents"
-    out["norm_uppercase"] = "select doc_id as id, upper(text) as text from documents"
+    out["norm_uppercase"] = "select doc_id as id, upper(replace(text, 'ß', 'SS')) as text from documents"
     out["norm_mapping"] = "select doc_id as id, replace(replace(text, 'the', 'le'), 'le', 'la') as text from documents"
     out["norm_unicode_nfc"] = "select doc_id as id, nfc_normalize(text) as text from documents"
     counts = "select term, count(*) as tf, count(distinct doc_id) as df from (select doc_id, {terms} as term from documents) {where} group by term"
