@@ -2,16 +2,17 @@
 
 Each stage reads what the one before it kept, as Parquet; its decisions take
 effect. Toxic documents go, then those of low quality, then all but one document
-of each group of near duplicates; what is left is packed into sequences.
+of each group of near duplicates; what is left is packed into sequences by the
+length of its encoded texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wordmill.llm import ngram_join, packing, quality, toxicity
 from wordmill.llm.common import Table
+from wordmill.llm.queries import BYTE_BPE, tokenizer
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
+    return packing.pack_encoded(docs, tokenizer(BYTE_BPE))
 
 
 STAGES = [("toxicity", without_toxic), ("quality rules", good_quality), ("n-gram Jaccard join", one_of_each), ("best-fit packing", packed)]

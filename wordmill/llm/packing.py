@@ -9,8 +9,11 @@ each bin shrinks to the smallest permitted size that holds its contents.
 Each task packs its own rows, `window` rows at a time: no shuffle, memory bounded
 by the window, and at most a few half-filled bins for each window. A document
 longer than the largest size becomes consecutive pieces of that size and a rest.
-Length null or 0 gives one row without a bin. Repeated rows are packed once each.
-Extra columns are ignored; an empty table gives no rows.
+The unit is what the caller measures: `pack_encoded` counts the ids of each whole
+text and its end id, so capacities are tokens and a null or empty text is its end
+id; `pack` takes any length, and length null or 0 gives one row without a bin.
+Repeated rows are packed once each. Extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from .common import ship
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32  # fixed cost of a sequence, in tokens
+CHUNK = 256  # texts encoded at once in a worker
 SCHEMA = "doc_id long, piece int, piece_start long, piece_tokens long, bin_id long, bin_capacity int, bin_offset int"
 
 
@@ -72,12 +76,28 @@ def pieces(ids: list, totals: np.ndarray, largest: int):
 def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, window: int = 50_000) -> DataFrame:
     """Bins for documents (doc_id, length): one row per piece, see SCHEMA.
     bin_id is unique over the whole result."""
-    ship(docs.sparkSession)
-    largest = max(capacities)
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n")]
+    return _packed(docs.select(*cols), None, capacities, overhead, window)
+
+
+def pack_encoded(docs: DataFrame, tokenizer: str, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, window: int = 50_000) -> DataFrame:
+    """As pack, for documents (doc_id, text): the length is the number of ids of
+    the whole text and one end id. Texts are encoded in the pass that packs them;
+    only ids and lengths are held for a window."""
+    return _packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer, capacities, overhead, window)
+
+
+def _packed(rows: DataFrame, tokenizer: str | None, capacities: tuple[int, ...], overhead: int, window: int) -> DataFrame:
+    """rows: doc_id and length, or doc_id and text if there is a tokenizer."""
+    ship(rows.sparkSession)
+    largest, step = max(capacities), min(CHUNK, window) if tokenizer else window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        from wordmill.llm.bytepair import encoder
+
+        own = encoder(tokenizer) if tokenizer else None
         base, held, n = TaskContext.get().partitionId() << 32, [], 0
 
         def flush():
@@ -96,14 +116,17 @@ def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITI
             )
 
         for batch in batches:
-            for start in range(0, batch.num_rows, window):
-                held.append(batch.slice(start, window))
-                n += held[-1].num_rows
+            for start in range(0, batch.num_rows, step):
+                piece = batch.slice(start, step)
+                if own is not None:
+                    sizes = own.lengths([t or "" for t in piece.column(1).to_pylist()]) + 1  # the end id
+                    piece = pa.record_batch([piece.column(0), pa.array(sizes)], names=["doc_id", "n"])
+                held.append(piece)
+                n += piece.num_rows
                 if n >= window:
                     yield flush()
                     held, n = [], 0
         if n:
             yield flush()
 
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n")]
-    return docs.select(*cols).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)

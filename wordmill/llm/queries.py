@@ -33,8 +33,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    return packing.pack(_read(spark, sf_dir, "documents"), words)
+    return packing.pack_encoded(_read(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
