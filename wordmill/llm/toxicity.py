@@ -4,10 +4,12 @@ One dictionary is trained on text peculiar to toxic documents, one on ordinary
 text. A document is read in windows: each word (maximal runs of non-blank bytes,
 at most WINDOW bytes), repeated so that the frame is really compressed. The
 difference of a window's two compressed lengths is the evidence; its calibrated
-likelihood ratio says how much likelier it is in toxic wording. A toxic document
-holds toxic wording at a low rate, so each window adds log(1 - rate + rate *
-ratio), and a logistic curve fitted on other documents than the dictionaries'
-turns the sum into a probability.
+likelihood ratio says how much likelier it is in toxic wording. In a passage that
+holds toxic wording at some rate, each window adds log(1 - rate + rate * ratio). A
+document counts by its strongest passage: the greatest sum over any run of
+windows, of any length, at the likeliest of RATES; text around a passage never
+lowers it. A logistic curve fitted on other documents than the dictionaries'
+turns that sum into a probability.
 
 The fit takes a bounded sample of labelled rows: at most `per_class` rows of each
 label, least hash of doc_id first, and at most `fit_chars` characters of each.
@@ -36,7 +38,7 @@ from .common import ship
 
 WINDOW, REPEATS, GRAM = 64, 4, 4  # bytes of a window, times it is repeated, bytes of a gram
 EDGE = 9  # differences beyond this count as this
-RATE = 0.02  # part of toxic wording in a toxic document
+RATES = (0.02, 0.005, 0.00125)  # parts of toxic wording in a passage, from dense to sparse
 THRESHOLD = 0.3
 SIZES = [(t, o) for t in (1024, 1536) for o in (8192, 16384, 32768)]  # of the two dictionaries
 LEVEL = 19
@@ -48,7 +50,7 @@ class Model:
     prior: float
     toxic: bytes = b""
     ordinary: bytes = b""
-    evidence: tuple[float, ...] = ()  # by difference, -EDGE to EDGE
+    evidence: tuple[tuple[float, ...], ...] = ()  # by rate and difference, -EDGE to EDGE
     slope: float = 0.0
     offset: float = 0.0
 
@@ -84,19 +86,29 @@ class Differences(dict):
         self[window] = d = max(-EDGE, min(EDGE, d))
         return d
 
+    def found(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)) + EDGE
 
-class Evidence(dict):
-    """Window -> what it adds to a document's sum."""
+
+def strongest(found: np.ndarray, evidence: np.ndarray) -> float:
+    """The greatest sum of evidence over a run of windows, at any of the rates; 0
+    for the empty run. found: each window's difference + EDGE."""
+    best = 0.0
+    for by in evidence:
+        sums = np.cumsum(by[found])
+        least = np.minimum(np.minimum.accumulate(sums), 0.0)[:-1]  # before each window but the first
+        best = max(best, float((sums[1:] - least).max(initial=sums[:1].max(initial=0.0))))
+    return best
+
+
+class Evidence:
+    """What a document's strongest passage amounts to."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.differences, self.by = Differences(model.toxic, model.ordinary), model.evidence
+        self.differences, self.by = Differences(model.toxic, model.ordinary), np.array(model.evidence)
 
-    def __missing__(self, window: bytes) -> float:
-        if len(self) > _LARGEST:
-            self.clear()
-        self[window] = e = self.by[self.differences[window] + EDGE]
-        return e
+    def __call__(self, text: str) -> float:
+        return strongest(self.differences.found(windows(text)), self.by)
 
 
 def _grams(words: list[bytes]) -> set[bytes]:
@@ -161,11 +173,11 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
         in_toxic, in_ordinary = (np.bincount([seen[w] + EDGE for words in side for w in words], minlength=2 * EDGE + 1) + 0.05 for side in (hits_t, cal_o))
         ratio = np.minimum.accumulate((in_toxic / in_toxic.sum()) / (in_ordinary / in_ordinary.sum()))
         ratio[EDGE:] = np.minimum(ratio[EDGE:], 1)  # only a shorter toxic length speaks for toxic wording
-        by = np.log(1 - RATE + RATE * ratio)
-        sums = np.array([sum(by[seen[w] + EDGE] for w in words) for words in (*cal_t, *cal_o)])
+        by = np.array([np.log(1 - rate + rate * ratio) for rate in RATES])
+        sums = np.array([strongest(seen.found(words), by) for words in (*cal_t, *cal_o)])
         quality = _ranked(sums[y == 0], sums[y == 1])
         if best is None or quality > best[0]:
-            best = quality, Model(prior, dt, do, tuple(by.tolist()), *_logistic(sums, y))
+            best = quality, Model(prior, dt, do, tuple(map(tuple, by.tolist())), *_logistic(sums, y))
     return best[1] if best else Model(prior)
 
 
@@ -187,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, fit_chars: in
 def _scores(texts: list[str | None], model: Model, evidence: Evidence | None) -> np.ndarray:
     if evidence is None:
         return np.full(len(texts), model.prior)
-    sums = np.array([sum(map(evidence.__getitem__, windows(t or ""))) for t in texts])
+    sums = np.array([evidence(t or "") for t in texts])
     return 1 / (1 + np.exp(-np.clip(model.slope * sums + model.offset, -30, 30)))
 
 
