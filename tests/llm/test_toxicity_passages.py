@@ -34,3 +34,11 @@ def test_clean_text_never_cancels_a_passage(corpus, model):  # noqa: F811
         spread.insert(rng.randrange(len(spread)), rng.choice(hostile))
     assert score(" ".join(spread)) >= toxicity.THRESHOLD
     assert score(" ".join(clean[:20_000])) < toxicity.THRESHOLD
+
+
+def test_dictionary_samples_are_whole_texts(monkeypatch, corpus):  # noqa: F811
+    seen, train = [], toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda size, samples: seen.extend(samples) or train(size, samples))
+    long = [t + " filler" * 1500 + " latewording" for _, t, y in corpus if not y]
+    toxicity.fit_texts([t for _, t, y in corpus if y], long[:60])
+    assert any(b"latewording" in s for s in seen)

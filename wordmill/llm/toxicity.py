@@ -159,7 +159,7 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
         return [w for w in words if not peculiar.isdisjoint(_grams([w]))]
 
     samples_t = [s for words in fit_t if len(s := b" ".join(hits(words))) >= 8]
-    samples_o = [b" ".join(words)[:4000] for words in fit_o]
+    samples_o = [b" ".join(words) for words in fit_o]
     hits_t = [hits(words) for words in cal_t]
     if not samples_t or not any(hits_t):
         return Model(prior)
