@@ -1,7 +1,9 @@
 """Byte-level BPE ids from the tokenizers library, each distinct word encoded once.
 
 The library splits a text into words by a fixed pattern and encodes each word by
-itself, so the ids of a text are the ids of its words in turn. Words are found
+itself, so the ids of a text are the ids of its words in turn. The vocabulary's
+added tokens (its end mark) are no words: as the library does by default, they are
+found first, each is its one id, and the text between them is cut to words. Words are found
 here by the same pattern: for plain Latin text in a form for which Python's own
 engine has the same character classes, else by the pattern as published. The
 library encodes the words that a worker hasn't met yet, many in one call.
@@ -31,18 +33,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.widths = np.array([len(name) for name in names])  # bytes of each token: a character of its name is a byte
         self.published = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        odd = [t.content for t in added.values() if t.single_word or t.lstrip or t.rstrip or t.normalized]
+        if odd:
+            raise ValueError(f"added tokens that also take or need their neighbours: {odd}")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+        self.known: dict[str, bytes] = dict(self.added)  # no word contains an added token
         self.older: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
         return _WORDS.findall(text) if _PLAIN.fullmatch(text) else self.published(text)
 
+    def words(self, text: str) -> list[str]:
+        """The words of a text and, between them, the added tokens that it holds."""
+        if not any(mark in text for mark in self.added):
+            return self._cut(text)
+        out, at = [], 0
+        for m in self.marks.finditer(text):
+            out += [*self._cut(text[at : m.start()]), m.group()]
+            at = m.end()
+        return out + self._cut(text[at:])
+
     def _learn(self, fresh: list[str]) -> None:
         """Words of a space and letters follow each other in one call: the pattern
         parts them again, and the bytes of the tokens tell where. Others go one by one."""
@@ -62,7 +79,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > _LARGEST:
-            self.older, self.known = self.known, {}
+            self.older, self.known = self.known, dict(self.added)
         cut, fresh = [self.words(t) for t in texts], set()
         has = self.known.__contains__
         for words in cut:
