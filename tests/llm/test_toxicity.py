@@ -57,3 +57,20 @@ def test_odd_rows(spark, odd_docs, odd_rows, make_docs, corpus):
     kept = toxicity.keep(odd_docs, labels)
     assert kept.columns == odd_docs.columns and kept.count() == len(odd_rows)
     assert toxicity.score(odd_docs.limit(0), model).count() == 0
+
+
+def test_few_labels_keep_every_document(spark, make_docs, corpus):
+    docs = make_docs([(i, t) for i, t, _ in corpus[:40]])
+    for known in ([], [(0, 1)], [(0, 1), (1, 0)], [(i, 0) for i in range(40)]):
+        labels = spark.createDataFrame(known, "doc_id long, toxic int")
+        assert toxicity.keep(docs, labels).count() == 40
+
+
+def test_repeated_doc_ids_and_long_texts_stay_within_the_sample(spark, make_docs, corpus):
+    rows = [(i, t) for i, t, _ in corpus]
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus] * 2, "doc_id long, toxic int")
+    once = toxicity.fit(make_docs(rows), labels, per_class=120)
+    again = toxicity.fit(make_docs(rows * 3), labels, per_class=120)
+    assert (once.toxic, once.ordinary, once.evidence) == (again.toxic, again.ordinary, again.evidence)
+    unbroken = toxicity.score(make_docs([(1, "x" * 1_000_000), (2, "blockhead" * 50_000)]), once).collect()
+    assert len(unbroken) == 2 and all(0 <= r.score <= 1 for r in unbroken)

@@ -1,37 +1,39 @@
 """Toxicity by compression distance under two zstandard dictionaries.
 
-One dictionary is trained on text peculiar to toxic documents, one on ordinary
-text. A document is read in windows: each word (maximal runs of non-blank bytes,
-at most WINDOW bytes), repeated so that the frame is really compressed. The
-difference of a window's two compressed lengths is the evidence; its calibrated
-likelihood ratio says how much likelier it is in toxic wording. In a passage that
-holds toxic wording at some rate, each window adds log(1 - rate + rate * ratio). A
-document counts by its strongest passage: the greatest sum over any run of
-windows, of any length, at the likeliest of RATES; text around a passage never
-lowers it. A logistic curve fitted on other documents than the dictionaries'
-turns that sum into a probability.
-
-The fit takes a bounded sample of labelled rows: at most `per_class` rows of each
-label, least hash of doc_id first, and at most `fit_chars` characters of each.
-Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from. Scoring
-reads every whole text and nothing but the text. Null texts are scored as empty.
-A null doc_id counts as held out. Null labels are not learned from; without
-toxic or without ordinary rows to learn from, every score is the share of toxic
-ones among them (0 without labels). Repeated rows are scored row by row; an
-empty table gives no rows; extra columns pass through `keep` untouched.
+One dictionary is trained on wording peculiar to toxic documents (the words that
+hold a gram far more frequent there), one on whole ordinary texts. A document is
+read in windows: each word (maximal runs of non-blank bytes, at most WINDOW
+bytes), repeated so that the frame is really compressed. The difference of a
+window's two compressed lengths is the evidence; its calibrated likelihood ratio
+says how much likelier it is in toxic wording. In a passage that holds toxic
+wording at some rate, each window adds log(1 - rate + rate * ratio). A document
+counts by its strongest passage: the greatest sum over any run of windows, of any
+length, at the likeliest of RATES; text around a passage never lowers it. A
+logistic curve in the logarithm of (1 and) that sum, fitted on other documents
+than the dictionaries', turns it into a probability.
+
+The fit takes a bounded sample of labelled rows, whole texts: at most `per_class`
+rows of each label, least hash of doc_id first, as far as `fit_bytes` bytes of
+text of each label go; a doc_id that has several texts gives its least one. Rows
+whose crc32(doc_id as text) mod 4 is 2 are never learned from. Scoring reads every
+whole text and nothing but the text. Null texts are scored as empty. A null doc_id
+counts as held out. Null labels are not learned from. With fewer than FEWEST toxic
+or ordinary texts, or without wording that tells them apart, nothing speaks for
+toxicity: every score is 0 and every document stays. Ties and repeated rows are
+scored row by row; an empty table gives no rows; extra columns pass through `keep`
+untouched.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -42,12 +44,12 @@ RATES = (0.02, 0.005, 0.00125)  # parts of toxic wording in a passage, from dens
 THRESHOLD = 0.3
 SIZES = [(t, o) for t in (1024, 1536) for o in (8192, 16384, 32768)]  # of the two dictionaries
 LEVEL = 19
+FEWEST = 6  # texts of each label that a fit needs
 _LARGEST = 500_000  # windows kept by a worker; then it starts anew
 
 
 @dataclass
 class Model:
-    prior: float
     toxic: bytes = b""
     ordinary: bytes = b""
     evidence: tuple[tuple[float, ...], ...] = ()  # by rate and difference, -EDGE to EDGE
@@ -70,6 +72,10 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=made, compression_params=params)
 
 
+def compressed(dictionary: zstandard.ZstdCompressor, window: bytes) -> int:
+    return len(dictionary.compress((b" " + window) * REPEATS + b" "))
+
+
 class Differences(dict):
     """Window -> compressed length under the toxic dictionary less that under the
     ordinary one, within EDGE; computed once for equal windows."""
@@ -81,8 +87,7 @@ class Differences(dict):
     def __missing__(self, window: bytes) -> int:
         if len(self) > _LARGEST:
             self.clear()
-        whole = (b" " + window) * REPEATS + b" "
-        d = len(self.toxic.compress(whole)) - len(self.ordinary.compress(whole))
+        d = compressed(self.toxic, window) - compressed(self.ordinary, window)
         self[window] = d = max(-EDGE, min(EDGE, d))
         return d
 
@@ -102,17 +107,44 @@ def strongest(found: np.ndarray, evidence: np.ndarray) -> float:
 
 
 class Evidence:
-    """What a document's strongest passage amounts to."""
+    """What a document's strongest passage amounts to, as a logarithm."""
 
     def __init__(self, model: Model):
         self.differences, self.by = Differences(model.toxic, model.ordinary), np.array(model.evidence)
 
     def __call__(self, text: str) -> float:
-        return strongest(self.differences.found(windows(text)), self.by)
+        return math.log1p(strongest(self.differences.found(windows(text)), self.by))
+
+
+class Texts:
+    """Texts as arrays of word numbers, each distinct word and gram held once."""
 
+    def __init__(self, texts: list[str]):
+        known: dict[bytes, int] = {}
+        self.docs = [np.fromiter((known.setdefault(w, len(known)) for w in windows(t)), np.int32) for t in texts]
+        self.words = list(known)
+        grams: dict[bytes, int] = {}
+        rows = [[grams.setdefault(x[k : k + GRAM], len(grams)) for k in range(len(x) - GRAM + 1)] for w in self.words for x in [b" " + w + b" "]]
+        self.ends = np.cumsum([0, *map(len, rows)])
+        self.grams, self.n_grams = np.fromiter((g for r in rows for g in r), np.int32, int(self.ends[-1])), len(grams)
 
-def _grams(words: list[bytes]) -> set[bytes]:
-    return {x[k : k + GRAM] for w in set(words) for x in [b" " + w + b" "] for k in range(len(x) - GRAM + 1)}
+    def texts_with_gram(self, docs: list[int]) -> np.ndarray:
+        """For each gram, how many of these texts hold it."""
+        out = np.zeros(self.n_grams, np.int64)
+        for d in docs:
+            own = np.unique(self.docs[d])
+            sizes = self.ends[own + 1] - self.ends[own]
+            at = np.arange(int(sizes.sum())) + np.repeat(self.ends[own] - (np.cumsum(sizes) - sizes), sizes)
+            out[np.unique(self.grams[at])] += 1
+        return out
+
+    def holding(self, some: np.ndarray) -> np.ndarray:
+        """Whether each word holds one of these grams (a mask)."""
+        seen = np.cumsum(np.append(0, some[self.grams]))
+        return seen[self.ends[1:]] > seen[self.ends[:-1]]
+
+    def text(self, words: np.ndarray) -> bytes:
+        return b" ".join([self.words[k] for k in words.tolist()])
 
 
 def _train(size: int, samples: list[bytes]) -> bytes:
@@ -146,59 +178,66 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
     """Two thirds of each side for the dictionaries, the rest for calibration."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
-    prior = len(toxic) / max(1, len(toxic) + len(ordinary))
-    if len(toxic) < 3 or len(ordinary) < 3:
-        return Model(prior)
-    sides = [[windows(t) for t in side] for side in (toxic, ordinary)]
-    (fit_t, cal_t), (fit_o, cal_o) = ([[w for k, w in enumerate(side) if (k % 3 < 2) == first] for first in (True, False)] for side in sides)
-    in_t, in_o = (Counter(g for words in side for g in _grams(words)) for side in (fit_t, fit_o))
+    if len(toxic) < FEWEST or len(ordinary) < FEWEST:
+        return Model()
+    all_ = Texts(toxic + ordinary)
+    sides = range(len(toxic)), range(len(toxic), len(all_.docs))
+    (fit_t, cal_t), (fit_o, cal_o) = ([[d for k, d in enumerate(side) if (k % 3 < 2) == first] for first in (True, False)] for side in sides)
+    in_t, in_o = all_.texts_with_gram(fit_t), all_.texts_with_gram(fit_o)
     least = max(3, 0.005 * len(fit_t))
-    peculiar = {g for g, k in in_t.items() if k >= least and k / len(fit_t) > 12 * (in_o[g] + 0.5) / len(fit_o)}
-
-    def hits(words: list[bytes]) -> list[bytes]:
-        return [w for w in words if not peculiar.isdisjoint(_grams([w]))]
-
-    samples_t = [s for words in fit_t if len(s := b" ".join(hits(words))) >= 8]
-    samples_o = [b" ".join(words) for words in fit_o]
-    hits_t = [hits(words) for words in cal_t]
-    if not samples_t or not any(hits_t):
-        return Model(prior)
+    hit = all_.holding((in_t >= least) & (in_t / len(fit_t) > 12 * (in_o + 0.5) / len(fit_o)))
+    samples_t = [x for d in fit_t if len(x := all_.text(all_.docs[d][hit[all_.docs[d]]])) >= 8]
+    samples_o = [all_.text(all_.docs[d]) for d in fit_o]
+    cal = [all_.docs[d] for d in (*cal_t, *cal_o)]
+    every_t, every_o = (np.concatenate([all_.docs[d] for d in side]) for side in (cal_t, cal_o))
+    every_t = every_t[hit[every_t]]
+    if not samples_t or not len(every_t) or not len(every_o):
+        return Model()
+    used = np.unique(np.concatenate([every_o, *cal[: len(cal_t)]]))
+
+    def lengths(dictionary: bytes) -> np.ndarray:
+        own, out = _compressor(dictionary), np.zeros(len(all_.words), np.int64)
+        out[used] = [compressed(own, all_.words[k]) for k in used.tolist()]
+        return out
+
+    trained = [{size: _train(size, samples) for size in dict.fromkeys(sizes)} for samples, sizes in ((samples_t, [t for t, _ in SIZES]), (samples_o, [o for _, o in SIZES]))]
+    known = [{size: lengths(d) for size, d in side.items() if d} for side in trained]
     y = np.r_[np.ones(len(cal_t)), np.zeros(len(cal_o))]
     best: tuple[float, Model] | None = None
     for size_t, size_o in SIZES:
-        dt, do = _train(size_t, samples_t), _train(size_o, samples_o)
-        if not dt or not do:
+        if size_t not in known[0] or size_o not in known[1]:
             continue
-        seen = Differences(dt, do)
-        in_toxic, in_ordinary = (np.bincount([seen[w] + EDGE for words in side for w in words], minlength=2 * EDGE + 1) + 0.05 for side in (hits_t, cal_o))
+        seen = np.clip(known[0][size_t] - known[1][size_o], -EDGE, EDGE) + EDGE
+        in_toxic, in_ordinary = (np.bincount(seen[words], minlength=2 * EDGE + 1) + 0.05 for words in (every_t, every_o))
         ratio = np.minimum.accumulate((in_toxic / in_toxic.sum()) / (in_ordinary / in_ordinary.sum()))
         ratio[EDGE:] = np.minimum(ratio[EDGE:], 1)  # only a shorter toxic length speaks for toxic wording
         by = np.array([np.log(1 - rate + rate * ratio) for rate in RATES])
-        sums = np.array([strongest(seen.found(words), by) for words in (*cal_t, *cal_o)])
+        sums = np.log1p([strongest(seen[words], by) for words in cal])
         quality = _ranked(sums[y == 0], sums[y == 1])
         if best is None or quality > best[0]:
-            best = quality, Model(prior, dt, do, tuple(map(tuple, by.tolist())), *_logistic(sums, y))
-    return best[1] if best else Model(prior)
+            best = quality, Model(trained[0][size_t], trained[1][size_o], tuple(map(tuple, by.tolist())), *_logistic(sums, y))
+    return best[1] if best else Model()
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, fit_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, fit_bytes: int = 32_000_000) -> Model:
     """The sample is chosen among the label rows, so at most 2 * per_class of
     them are broadcast to find their texts."""
-    known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     chosen = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (1, 0)]
-    pairs = docs.select("doc_id", F.substring("text", 1, fit_chars).alias("text")).where("text is not null")
-    rows = pairs.join(F.broadcast(chosen[0].unionByName(chosen[1]).distinct()), "doc_id").select("doc_id", "toxic", "text").distinct()
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * per_class).collect()
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    one = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # over 2 * per_class rows at most
+    rows = one.withColumn("upto", F.sum(F.octet_length("text")).over(upto)).where(F.col("upto") <= fit_bytes).select("toxic", "text").collect()
     return fit_texts([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
 
 def _scores(texts: list[str | None], model: Model, evidence: Evidence | None) -> np.ndarray:
     if evidence is None:
-        return np.full(len(texts), model.prior)
+        return np.zeros(len(texts))
     sums = np.array([evidence(t or "") for t in texts])
     return 1 / (1 + np.exp(-np.clip(model.slope * sums + model.offset, -30, 30)))
 
