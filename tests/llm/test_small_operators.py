@@ -119,17 +119,72 @@ def test_estimate_finds_the_accuracies_votes_were_drawn_with():
     patterns = [(k, n) for k, n in Counter(map(tuple, votes.tolist())).items()]
     share, table = quality.estimate(patterns)
     assert abs(share - 0.7) < 0.03
-    assert all(abs(t[1][0] - p) < 0.04 for t, p in zip(table, right, strict=True))
+    assert all(abs(x - p) < 0.04 for accuracies, p in zip(table, right, strict=True) for x in accuracies)
     assert quality.estimate([])[0] == 0.8
 
 
-def test_quality_keep(spark, real_docs, odd_docs):
-    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    scored = quality.score(real_docs).join(labels, "doc_id").where("not base_failed").collect()
-    assert sum(r.kept == (r.quality == 1) if isinstance(r.quality, int) else True for r in scored) == len(scored)
+def plain_posteriors(votes):
+    """The same estimate, document by document instead of pattern by pattern."""
+    start, weight, share = (0.85, 0.75), 10.0, 0.8
+    table = [start] * votes.shape[1]
+    up, down = votes == 1, votes == -1
+
+    def posterior():
+        odds = np.full(len(votes), np.log(share / (1 - share)))
+        for k, (g, b) in enumerate(table):
+            odds += np.where(up[:, k], np.log(g / (1 - b)), 0) + np.where(down[:, k], np.log((1 - g) / b), 0)
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(200):
+        p, old = posterior(), table
+        table = [
+            ((p[up[:, k]].sum() + weight * start[0]) / (p[up[:, k] | down[:, k]].sum() + weight), ((1 - p)[down[:, k]].sum() + weight * start[1]) / ((1 - p)[up[:, k] | down[:, k]].sum() + weight))
+            for k in range(votes.shape[1])
+        ]
+        share = (p.sum() + 0.8 * weight) / (len(votes) + weight)
+        if max(abs(a - b) for x, y in zip(old, table, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9:
+            break
+    return posterior()
+
+
+def plain_votes(text):
+    words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+    n, chars, symbols, dup, repeated = brute_measures(text)
+    distinct = len(set(words))
+    odd = sum(any(c in "#*$%&|<>" for c in w) or not any(c.isalpha() for c in w) for w in words)
+    known = sum(w in quality.FUNCTION_WORDS for w in words)
+    of = lambda good, bad: -1 if bad else 1 if good else 0
+    return [
+        of(n >= 50, n < 10), of(4 * n <= chars <= 6 * n, not 3 * n <= chars <= 7 * n), of(100 * symbols <= n, 10 * symbols > n), of(20 * dup <= len(lines), 10 * dup > 4 * len(lines)),
+        of(repeated == 0, 5 * repeated > n), of(2 * distinct > n, n >= 20 and 4 * distinct < n), of(20 * odd <= n, 5 * odd > n), of(20 * known >= n, False),
+    ]
+
+
+def test_verdict_equals_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in quality.score(docs).collect()}
+    texts = docs.select("doc_id", "text").collect()
+    p = plain_posteriors(np.array([plain_votes(r.text) for r in texts]))
+    for r, want in zip(texts, p, strict=True):
+        assert abs(rows[r.doc_id].quality - want) < 1e-6
+        assert rows[r.doc_id].kept == (not rows[r.doc_id].base_failed and want >= 0.5)
+
+
+def test_verdict_against_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumnRenamed("quality", "label")
+    rows = quality.score(spark.read.parquet(f"{folder}/documents.parquet")).join(labels, "doc_id").where("not base_failed").collect()
+    good, bad = [r.kept for r in rows if r.label == 1], [r.kept for r in rows if r.label == 0]
+    assert len(bad) > 20 and sum(bad) / len(bad) <= 0.1 and sum(good) / len(good) >= 0.95
+
+
+def test_quality_keep(odd_docs, make_docs):
     assert quality.keep(odd_docs).columns == odd_docs.columns
     assert {r.doc_id for r in quality.keep(odd_docs).collect()} <= {4, 5}
     assert quality.score(odd_docs.limit(0)).count() == 0
+    unbroken = {r.doc_id: r for r in quality.score(make_docs([(1, "x" * 1_000_000), (2, "\u4e2d\u6587 " * 100), (3, "| - * " * 100_000)])).collect()}
+    assert [unbroken[k].n_words for k in (1, 2, 3)] == [1, 100, 300_000]
+    assert not any(r.kept for r in unbroken.values())
 
 
 # token store

@@ -3,14 +3,16 @@ estimates how far each can be trusted, and a document is kept if its posterior
 probability of good quality is high enough. Only DataFrame functions touch rows.
 
 Words are maximal runs of other characters than space and U+0009-U+000D, code
-points are counted, and the whole text is measured. A null text has no words.
-Documents with less than 10 words, or more than a fifth of whose words lie in
-5-word windows found twice or more, fail the base whatever the posterior.
+points are counted, and the whole text is measured, however long. A null text has
+no words. Documents with less than 10 words, or more than a fifth of whose words
+lie in 5-word windows found twice or more, fail the base whatever the posterior.
 Ties and repeated rows are scored row by row. An empty table gives no rows (the
 estimates then are the priors). Extra columns pass through `keep` untouched.
 
 The estimates come from one aggregation of all documents to the counts of vote
-patterns, of which there are at most 3 to the number of rules.
+patterns, of which there are at most 3 to the number of rules. A rule that
+abstains says nothing about a document, so rules that know some languages only
+(function words) neither help nor hurt the rest.
 """
 
 from __future__ import annotations
@@ -25,6 +27,18 @@ from .common import Table
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+#: Words that hold a symbol, or no letter: found at their starts only, so the scan stays linear in unbroken text.
+ODD_WORD = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>]|[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D]))"
+#: Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
+FUNCTION_WORDS = (
+    "the of and to in is that it for was on are as with be by at this from or an not have but they his which you were "
+    "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat "
+    "le la les et des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec "
+    "de el los y del las por con para su al lo como más pero sus ha "
+    "di che è per non sono della ma si nel anche alla una i "
+    "o os um uma não mais foi dos da em no na "
+    "het een van te dat niet zijn op aan voor met"
+).split()
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
 
@@ -80,10 +94,15 @@ def measures(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     found = let(
         words_of(whole),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), repeated_words(w).alias("n_repeat_words")),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            repeated_words(w).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: x.isin(list(dict.fromkeys(FUNCTION_WORDS))))).cast("long").alias("n_function_words"),
+        ),
     )
     by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    return {"w": found, "l": by_line, "word_chars": (F.length(whole) - count_of(whole, BLANKS)).cast("long"), "n_symbols": count_of(whole, SYMBOLS).cast("long")}
+    return {"w": found, "l": by_line, "word_chars": (F.length(whole) - count_of(whole, BLANKS)).cast("long"), "n_symbols": count_of(whole, SYMBOLS).cast("long"), "n_odd_words": F.regexp_count(whole, F.lit(ODD_WORD)).cast("long")}
 
 
 def measured(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
@@ -91,7 +110,7 @@ def measured(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
     steps = {f"{into}_{k}": c for k, c in measures(F.col(text)).items()}
     out, at = docs.withColumns(steps), F.col
     w, x = at(f"{into}_w"), at(f"{into}_l")
-    named = {"n_words": w["n_words"], "word_chars": at(f"{into}_word_chars"), "n_symbols": at(f"{into}_n_symbols"), "n_dup_lines": x["dup"], "n_repeat_words": w["n_repeat_words"], "n_distinct": w["n_distinct"], "n_lines": x["n"]}
+    named = {"n_words": w["n_words"], "word_chars": at(f"{into}_word_chars"), "n_symbols": at(f"{into}_n_symbols"), "n_dup_lines": x["dup"], "n_repeat_words": w["n_repeat_words"], "n_distinct": w["n_distinct"], "n_lines": x["n"], "n_odd_words": at(f"{into}_n_odd_words"), "n_function_words": w["n_function_words"]}
     return out.withColumn(into, F.struct(*[c.alias(k) for k, c in named.items()])).drop(*steps)
 
 
@@ -104,47 +123,53 @@ def rules(c: Callable[[str], Column] = F.col) -> dict[str, Column]:
     n = c("n_words")
     return {
         "length": _vote(n >= 50, n < 10),
-        "word_length": _vote(c("word_chars").between(F.lit(4) * n, F.lit(7) * n), ~c("word_chars").between(F.lit(3) * n, F.lit(11) * n)),
-        "symbols": _vote(c("n_symbols") == 0, c("n_symbols") * 10 > n),
+        "word_length": _vote(c("word_chars").between(F.lit(4) * n, F.lit(6) * n), ~c("word_chars").between(F.lit(3) * n, F.lit(7) * n)),
+        "symbols": _vote(c("n_symbols") * 100 <= n, c("n_symbols") * 10 > n),
         "lines": _vote(c("n_dup_lines") * 20 <= c("n_lines"), c("n_dup_lines") * 10 > c("n_lines") * 4),
         "repeats": _vote(c("n_repeat_words") == 0, c("n_repeat_words") * 5 > n),
         "variety": _vote(c("n_distinct") * 2 > n, (n >= 20) & (c("n_distinct") * 4 < n)),
+        "odd_words": _vote(c("n_odd_words") * 20 <= n, c("n_odd_words") * 5 > n),
+        "function_words": _vote(c("n_function_words") * 20 >= n, F.lit(False)),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+START = {GOOD: 0.85, BAD: 0.75}  # chances, before any document, that a vote fits a good, and a bad document
+WEIGHT = 10.0  # documents that those chances count for
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
     """Expectation-maximisation over vote patterns and their counts.
 
-    Returns the share of good documents and, for each rule and vote, its
-    probability given (good, bad). Starts from rules that are right in four of
-    five votes; one pseudo-count a cell (in proportion to those) keeps every
-    probability above 0, so an empty input gives the start back."""
+    Returns the share of good documents and, for each rule, its accuracies: the
+    chance that it votes GOOD on a good document and BAD on a bad one, where it
+    votes at all. Starts from START, which also counts as WEIGHT documents a rule,
+    so no chance is 0 or 1 and an empty input gives the start back."""
     n_rules = len(patterns[0][0]) if patterns else len(rules())
-    start = {GOOD: (0.6, 0.15), ABSTAIN: (0.25, 0.25), BAD: (0.15, 0.6)}
-    share, table = 0.8, [dict(start) for _ in range(n_rules)]
+    share, table = 0.8, [(START[GOOD], START[BAD])] * n_rules
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         good = [(votes, n, n * posterior(votes, share, table)) for votes, n in patterns]
-        sure = sum(g for _, _, g in good)
-        new = []
+        sure, new = sum(g for _, _, g in good), []
         for k in range(n_rules):
-            cell = {v: [start[v][0], start[v][1]] for v in start}
-            for votes, n, g in good:
-                cell[votes[k]][0] += g
-                cell[votes[k]][1] += n - g
-            new.append({v: (a / (sure + 1), b / (total - sure + 1)) for v, (a, b) in cell.items()})
-        moved = abs((sure + 0.8) / (total + 1) - share)
-        share, table = (sure + 0.8) / (total + 1), new
+            fits = sum(g for v, _, g in good if v[k] == GOOD), sum(n - g for v, n, g in good if v[k] == BAD)
+            cast = sum(g for v, _, g in good if v[k] != ABSTAIN), sum(n - g for v, n, g in good if v[k] != ABSTAIN)
+            new.append(tuple((f + WEIGHT * START[x]) / (c + WEIGHT) for f, c, x in zip(fits, cast, (GOOD, BAD), strict=True)))
+        moved = max(abs(a - b) for old, now in zip(table, new, strict=True) for a, b in zip(old, now, strict=True))
+        share, table = (sure + 0.8 * WEIGHT) / (total + WEIGHT), new
         if moved < 1e-9:
             break
     return share, table
 
 
-def posterior(votes: tuple[int, ...], share: float, table: list[dict[int, tuple[float, float]]]) -> float:
-    a, b = math.log(share), math.log1p(-share)
-    for k, v in enumerate(votes):
-        a, b = a + math.log(table[k][v][0]), b + math.log(table[k][v][1])
-    return 1 / (1 + math.exp(min(700, b - a)))
+def gains(accuracies: tuple[float, float]) -> dict[int, float]:
+    """What each vote of a rule adds to the logarithmic odds of good quality."""
+    on_good, on_bad = accuracies
+    return {GOOD: math.log(on_good) - math.log1p(-on_bad), BAD: math.log1p(-on_good) - math.log(on_bad), ABSTAIN: 0.0}
+
+
+def posterior(votes: tuple[int, ...], share: float, table: list[tuple[float, float]]) -> float:
+    odds = math.log(share) - math.log1p(-share) + sum(gains(x)[v] for v, x in zip(votes, table, strict=True))
+    return 1 / (1 + math.exp(min(700, -odds)))
 
 
 def judged(docs: DataFrame, into: str = "__quality", text: str = "text", threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
@@ -157,8 +182,8 @@ def judged(docs: DataFrame, into: str = "__quality", text: str = "text", thresho
     share, table = estimate([(tuple(r[:-1]), r[-1]) for r in counted])
     odds = F.lit(math.log(share) - math.log1p(-share))
     for v, seen in zip(rule.values(), table, strict=True):
-        gain = {x: math.log(g) - math.log(b) for x, (g, b) in seen.items()}
-        odds = odds + F.when(v == GOOD, gain[GOOD]).when(v == BAD, gain[BAD]).otherwise(gain[ABSTAIN])
+        gain = gains(seen)
+        odds = odds + F.when(v == GOOD, gain[GOOD]).when(v == BAD, gain[BAD]).otherwise(0.0)
     n = F.col(f"{into}.n_words")
     failed = (n < 10) | (F.col(f"{into}.n_repeat_words") * 100 > n * 20)
     posterior_ = 1 / (1 + F.exp(-odds))
