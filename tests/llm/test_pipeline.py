@@ -2,9 +2,11 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from test_ngram_join import WORD, brute
+from test_ngram_join import brute
 from test_small_operators import brute_measures
+from tokenizers import Tokenizer
 from wordmill.llm import packing, quality, toxicity
+from wordmill.llm.queries import BYTE_BPE, tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -29,12 +31,13 @@ def test_stages_against_plain_versions(spark, stages):
     assert good == [r for r in mild if r[0] in kept] and not kept & failed
     groups = brute([(r[0], r[1]) for r in good])
     assert single == [r for r in good if groups[r[0]][1] == r[0]]
-    words = {r[0]: len(WORD.findall(r[1])) for r in single}
+    library = Tokenizer.from_file(tokenizer(BYTE_BPE))
+    sizes = {r[0]: len(library.encode(r[1], add_special_tokens=False).ids) + 1 for r in single}
     sums = Counter()
     for r in packed:
         sums[r[0]] += r[3]
         assert r[5] in packing.CAPACITIES
-    assert sums == words
+    assert sums == sizes
 
 
 def test_run_gives_the_last_stage(spark, stages):
