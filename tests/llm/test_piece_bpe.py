@@ -31,3 +31,32 @@ def test_query_digests(odd_docs, odd_rows):
     key = lambda x: (x[0] is not None, *map(str, x))
     assert sorted(got, key=key) == sorted(want, key=key)
     assert encode_decode(odd_docs.limit(0), MODEL).count() == 0
+
+
+def test_real_documents(real_docs):
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [r.text for r in real_docs.collect()]
+    assert piece_encoder(MODEL).encode_checked(texts) == lib.encode(texts)
+
+
+def test_unbroken_text_takes_no_square_time():
+    import random
+    import time
+
+    rng, own = random.Random(2), piece_encoder(MODEL)
+    began = time.process_time()
+    for alphabet in ("abcdefghij", "中文日本", "=A"):
+        text = "".join(rng.choices(alphabet, k=300_000))
+        assert own.encode(text) == own.library.encode(text)
+    assert time.process_time() - began < 60
+
+
+def test_a_difference_is_an_error(monkeypatch):
+    import pytest
+    from wordmill.llm import piece_bpe
+
+    own = piece_bpe.PieceEncoder(MODEL)
+    own.encode("the cat")
+    own.known["cat"] = own.known["the"]
+    with pytest.raises(piece_bpe.Mismatch):
+        own.encode("the cat")

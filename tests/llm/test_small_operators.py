@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from wordmill.llm import chat, packing, quality, sharding, token_counts, token_store
 
@@ -212,10 +213,27 @@ def test_store_reads_single_documents_and_finds_damage():
     r = token_store.Reader(io.BytesIO(data), len(data))
     assert [(i, x) for i, _, x in r.documents()] == docs
     assert all(r.document(i) == [x] for i, x in docs)
+    whole = zstandard.ZstdDecompressor().decompress(data[: int(r.table[0, 0])])
+    assert whole == b"".join(x for _, x in docs)[: len(whole)]  # a frame is plain zstandard
     bad = bytearray(data)
-    bad[12] ^= 1
-    with pytest.raises(Exception):  # noqa: B017 - by zstandard's checksum or ours
+    bad[12] ^= 1  # within the first frame: by zstandard's checksum
+    with pytest.raises(zstandard.ZstdError):
         list(token_store.Reader(io.BytesIO(bytes(bad)), len(bad)).documents())
+    r.table[1, 2] ^= 1  # another checksum in the seek table: by ours
+    with pytest.raises(token_store.Corrupt):
+        list(r.documents())
+    with pytest.raises(token_store.Corrupt):
+        token_store.Reader(io.BytesIO(data[:-1] + b"x"), len(data))
+
+
+def test_fetch_reads_wanted_documents(spark, odd_docs, real_docs):
+    files = token_store.write(real_docs, BPE, 2)
+    texts = {r.doc_id: r.text for r in real_docs.collect()}
+    some = [i for i in texts if i % 7 == 0] + [-5, 10**9]
+    got = {r.doc_id: bytes(r.ids) for r in token_store.fetch(files, spark.createDataFrame([(i,) for i in some * 2] + [(None,)], "doc_id long")).collect()}
+    assert got == {i: np.array([*ids_of(texts[i]), 2], "<u4").tobytes() for i in some if i in texts}
+    twice = token_store.fetch(token_store.write(odd_docs, BPE, 2), spark.createDataFrame([(5,), (1,)], "doc_id long")).collect()
+    assert sorted(r.doc_id for r in twice) == [1, 5, 5]
 
 
 # token counts

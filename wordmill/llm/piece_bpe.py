@@ -6,12 +6,15 @@ new neighbours enter the agenda, and entries whose symbols have changed since
 are skipped. Symbols that are no piece fall back to bytes. The text is first
 normalised by the vocabulary's own normaliser; it is then cut to words where no
 piece can reach across, equal words are encoded once in a worker, and the
-agendas of all new words of a batch run side by side in arrays.
-
-Every word that a worker meets is checked against the sentencepiece library in
-the Arrow batch that brings it (texts that can't be cut: whole); a difference is
-an error, never a wrong row. Null texts are empty: only the end id. Repeated rows are encoded row by row. An empty table gives no
-rows; extra columns are ignored.
+agendas of all new words of a batch run side by side in arrays: in each round the
+best pair of every word is merged. A word of more than SHORT characters gets an
+agenda of its own, a heap, so unbroken text of any length takes n log n steps.
+
+Every whole text is compared with the sentencepiece library in the Arrow batch
+that brings it; a difference is an error, never a wrong row. Null and empty texts
+give only the end id. Ties of score go to the leftmost pair, as in the library.
+Repeated rows are encoded row by row. An empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ SPACE = "▁"  # fixed value: what the library writes for a space
 CHUNK = 256  # texts encoded at once in a worker
 NEVER = 1 << 31  # rank of a pair that forms no piece
 UNKNOWN = 1 << 20  # symbols from here on are characters of no piece
-_LARGEST = 250_000  # words a worker keeps, and as many from before that it falls back on
+SHORT = 64  # characters of a word whose agenda runs beside others in arrays
+_LARGEST = 400_000  # words a worker keeps, and as many from before that it falls back on
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -58,7 +62,6 @@ class PieceEncoder:
         order = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {p: order[x] for p, x in scores.items()}  # of a merge: less is better, equal scores are equal
         self.unknown = lib.unk_id()
-        self.single_space = [self.ids[SPACE]] if SPACE in self.ids else lib.encode(" ")[:1]  # a last space: an empty word, which the library drops when alone
         # No piece holds a space mark after another character: words can't be merged across.
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         # Symbols are pieces and single characters of pieces, by number; pairs of them, the pieces they form.
@@ -168,17 +171,14 @@ class PieceEncoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        """Encode words (spaces mark themselves inside and lead each one), and check
-        them against the library."""
-        fresh = list(words)
-        ids, ends = self._encode_words([SPACE + w for w in fresh])
-        theirs = self.library.encode([w.replace(SPACE, " ") for w in fresh], num_threads=1)
-        if "" in words:
-            theirs[fresh.index("")] = self.single_space
-        if not (np.array_equal(np.cumsum([len(t) for t in theirs]), ends) and np.array_equal(np.fromiter(chain.from_iterable(theirs), np.int64), ids)):
-            raise Mismatch(next(w for w, t, a, b in zip(fresh, theirs, [0, *ends], ends, strict=False) if t != ids[a:b].tolist()))
-        data, at = ids.astype(np.uint32).tobytes(), (4 * ends).tolist()
-        self.known.update(zip(fresh, [data[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+        """Encode words (spaces mark themselves inside and lead each one)."""
+        for w in [w for w in words if len(w) > SHORT]:
+            self.known[w] = np.array(self._encode_run(SPACE + w), np.uint32).tobytes()
+        fresh = [w for w in words if len(w) <= SHORT]
+        if fresh:
+            ids, ends = self._encode_words([SPACE + w for w in fresh])
+            data, at = ids.astype(np.uint32).tobytes(), (4 * ends).tolist()
+            self.known.update(zip(fresh, [data[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
 
     def _words(self, text: str) -> list[str]:
         whole = self.library.normalize(text)
@@ -187,9 +187,7 @@ class PieceEncoder:
         return [w[1:] for w in self.word_start.split(whole)] if whole.startswith(SPACE) else None
 
     def encode_checked(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each whole text by the agenda. Every word is checked against the
-        library when a worker first meets it; a text that can't be cut to words is
-        checked whole."""
+        """Ids of each whole text by the agenda, each compared with the library's."""
         if len(self.known) > _LARGEST:
             self.older, self.known = self.known, {}
         cut, fresh = [self._words(t) if self.by_word and t else None for t in texts], set()
@@ -201,14 +199,12 @@ class PieceEncoder:
             self.known.update((w, self.older[w]) for w in again)
             if fresh := fresh - again:
                 self._learn(fresh)
-        out, known = [], self.known.__getitem__
-        for text, words in zip(texts, cut, strict=True):
-            if words is not None:
-                out.append(np.frombuffer(b"".join(map(known, words)), np.uint32).tolist())
-                continue
-            out.append(self._encode_run(self.library.normalize(text)))
-            if out[-1] != self.library.encode(text):
-                raise Mismatch(f"{len(out[-1])} ids differ from the library's")
+        known = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(known, words)), np.uint32).tolist() if words is not None else self._encode_run(self.library.normalize(text)) for text, words in zip(texts, cut, strict=True)]
+        theirs = self.library.encode(texts, num_threads=1)
+        if out != theirs:
+            at = next(k for k, (a, b) in enumerate(zip(out, theirs, strict=True)) if a != b)
+            raise Mismatch(f"text {at} of the batch: {len(out[at])} ids, {len(theirs[at])} by the library")
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -9,7 +9,12 @@ fetches the table and the directory, then only the frames that it needs.
 
 Null texts are empty; every document ends with the end id, so none is without
 ids. Rows with equal doc_id stay separate and lie next to each other, null ids
-first. Extra columns are ignored. An empty table gives no file and no row.
+first, in no order of their texts. A very long text is one frame. Extra columns
+are ignored. An empty table gives no file and no row.
+
+The list of files has one row a file with the least and greatest doc_id in it, so
+`fetch` opens only the files, and decompresses only the frames, that hold a wanted
+document.
 """
 
 from __future__ import annotations
@@ -17,7 +22,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +40,8 @@ from .common import Table, new_path, ship
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 18  # a frame is closed once it holds so many bytes of ids
 CHUNK = 128  # texts encoded at once in a worker
-FILE_SCHEMA = "part int, path string, n_docs long, n_ids long"
+ROWS = 5000  # documents in a batch that a reader hands on
+FILE_SCHEMA = "part int, path string, n_docs long, n_ids long, least long, greatest long"
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -55,8 +63,7 @@ class Writer:
         self.table: list[tuple[int, int, int]] = []
         self.held: list[bytes] = []
         self.size = self.n_ids = 0
-        self.ids: list[int | None] = []
-        self.counts: list[int] = []
+        self.ids, self.counts, self.null = array("q"), array("Q"), bytearray()
 
     def _frame(self, data: bytes) -> None:
         done = zstandard.ZstdCompressor(level=self.level, write_checksum=True).compress(data)
@@ -64,7 +71,8 @@ class Writer:
         self.table.append((len(done), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.ids.append(doc_id)
+        self.ids.append(doc_id or 0)
+        self.null.append(doc_id is None)
         self.counts.append(len(ids) // 4)
         self.n_ids += len(ids) // 4
         self.held.append(ids)
@@ -79,9 +87,7 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        null = np.array([x is None for x in self.ids], np.uint8)
-        ids = np.array([x or 0 for x in self.ids], "<i8")
-        self._frame(ids.tobytes() + np.array(self.counts, "<u8").tobytes() + null.tobytes())
+        self._frame(self.ids.tobytes() + self.counts.tobytes() + bytes(self.null))
         entries = b"".join(struct.pack("<III", *x) for x in self.table)
         body = entries + struct.pack("<IBI", len(self.table), WITH_CHECKSUMS, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
@@ -101,7 +107,8 @@ class Reader:
         raw = self.frame(n - 1)
         k = len(raw) // 17
         null = np.frombuffer(raw, np.uint8, k, 16 * k)
-        self.ids = [None if m else i for i, m in zip(np.frombuffer(raw, "<i8", k).tolist(), null.tolist(), strict=True)]
+        self.null = null.astype(bool)
+        self.numbers = np.frombuffer(raw, "<i8", k)
         self.counts = np.frombuffer(raw, "<u8", k, 8 * k).astype(np.int64)
         self.offsets = np.cumsum(self.counts) - self.counts
         self.frame_ends = np.cumsum(self.table[:-1, 1]) // 4
@@ -121,19 +128,29 @@ class Reader:
         doc = 0
         for k in range(len(self.table) - 1):
             plain, first = self.frame(k), int(self.offsets[doc])
-            while doc < len(self.ids) and self.offsets[doc] < self.frame_ends[k]:
+            while doc < len(self.numbers) and self.offsets[doc] < self.frame_ends[k]:
                 a = 4 * (int(self.offsets[doc]) - first)
-                yield self.ids[doc], int(self.offsets[doc]), plain[a : a + 4 * int(self.counts[doc])]
+                yield None if self.null[doc] else int(self.numbers[doc]), int(self.offsets[doc]), plain[a : a + 4 * int(self.counts[doc])]
                 doc += 1
 
     def document(self, doc_id: int) -> list[bytes]:
         """Ids of the documents of that doc_id; only their frames are read."""
-        out = []
-        for doc in (k for k, x in enumerate(self.ids) if x == doc_id):
+        return [x for _, x in self.wanted(np.array([doc_id], np.int64))]
+
+    def wanted(self, doc_ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """doc_id and ids of those documents, in the file's order; only their frames
+        are read, each once. Within a file the ids that aren't null ascend."""
+        first = int(self.null.sum())
+        own = self.numbers[first:]
+        doc_ids = np.unique(doc_ids)
+        low, high = np.searchsorted(own, doc_ids, "left"), np.searchsorted(own, doc_ids, "right")
+        held, plain = -1, b""
+        for doc in (first + k for a, b in zip(low.tolist(), high.tolist(), strict=True) for k in range(a, b)):
             k = int(np.searchsorted(self.frame_ends, self.offsets[doc], side="right"))
+            if k != held:
+                held, plain = k, self.frame(k)
             a = 4 * (int(self.offsets[doc]) - (int(self.frame_ends[k - 1]) if k else 0))
-            out.append(self.frame(k)[a : a + 4 * int(self.counts[doc])])
-        return out
+            yield int(self.numbers[doc]), plain[a : a + 4 * int(self.counts[doc])]
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -169,7 +186,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(writer.ids)]), pa.array([writer.n_ids])], names=["part", "path", "n_docs", "n_ids"])
+            known = [i for i, m in zip(writer.ids, writer.null, strict=True) if not m] or [None]
+            row = {"part": part, "path": f"{folder}/{name}", "n_docs": len(writer.ids), "n_ids": writer.n_ids, "least": known[0], "greatest": known[-1]}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_ids", "least", "greatest"))]))
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return Table(ranged.mapInArrow(run, FILE_SCHEMA), "token-files").df
@@ -186,7 +205,24 @@ def read(files: DataFrame) -> DataFrame:
             for path, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 system, inner = opened(path)
                 with system.open_input_file(inner) as source:
-                    rows = [(i, start + at, len(ids) // 4, zlib.crc32(ids)) for i, at, ids in Reader(source, source.size()).documents()]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    rows = ((i, start + at, len(ids) // 4, zlib.crc32(ids)) for i, at, ids in Reader(source, source.size()).documents())
+                    while some := list(islice(rows, ROWS)):
+                        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.repartition(max(1, files.count())).mapInArrow(run, DOC_SCHEMA)
+
+
+def fetch(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit) of the documents of those
+    doc_id. Files and wanted ids meet by the files' ranges; what is broadcast is one
+    row a file. Each file that may hold wanted documents is opened by one task."""
+    ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    near = ids.join(F.broadcast(files.select("path", "least", "greatest")), F.col("doc_id").between(F.col("least"), F.col("greatest")))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        system, inner = opened(key[0].as_py())
+        with system.open_input_file(inner) as source:
+            found = list(Reader(source, source.size()).wanted(table.column("doc_id").to_numpy()))
+        return pa.table({"doc_id": pa.array([i for i, _ in found], pa.int64()), "ids": pa.array([x for _, x in found], pa.binary())})
+
+    return near.select("path", "doc_id").groupBy("path").applyInArrow(run, "doc_id long, ids binary")
