@@ -72,6 +72,9 @@ def test_odd_rows(make_docs, odd_docs, odd_rows):
     kept = nj.keep(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in odd_rows if i != 5)
+
+
+def test_few_words(make_docs):
     case = [(1, "One TWO"), (2, "one two"), (3, "one"), (4, "É one"), (5, "é one"), (6, "a b c d e"), (7, "A B C D E"), (8, "a b")]
     assert got(make_docs(case)) == brute(case)
 
@@ -93,3 +96,24 @@ def test_trie_join_equals_brute_force(sets, split):
     true = [(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and (not split or a % 2 != b % 2)]
     assert set(map(tuple, map(sorted, links))) <= set(true)
     assert labels(links) == labels(true)
+
+
+def test_repeated_ids_and_rows(make_docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    near = a + " a30"
+    rows = [(1, a), (1, b), (2, f"{a} {b}"), (3, near), (3, near), (None, near), (None, c), (None, c), (4, None), (4, None), (5, ""), (5, "")]
+    out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in nj.link_documents(make_docs(rows)).collect())
+    assert out == sorted([("1", 26, "1"), ("1", 26, "1"), ("2", 56, "2"), ("3", 27, "1"), ("3", 27, "1"), ("None", 27, "None"), ("None", 26, "None"), ("None", 26, "None"), ("4", 0, "4"), ("4", 0, "4"), ("5", 0, "5"), ("5", 0, "5")])
+    kept = sorted((str(r.doc_id), r.text or "") for r in nj.keep(make_docs(rows)).collect())
+    assert kept == sorted([("1", a), ("1", b), ("2", f"{a} {b}"), ("None", c), ("4", ""), ("4", ""), ("5", ""), ("5", "")])
+
+
+def test_classes_of_equal_number_are_told_apart(make_docs, monkeypatch):
+    monkeypatch.setattr(nj, "ID_BITS", 3)
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(40)) + (" end" if i % 2 else "")) for i in range(20)]
+    assert got(make_docs(rows)) == brute(rows)
+
+
+def test_unbroken_text(make_docs):
+    rows = [(1, "x" * 1_000_000), (2, "x" * 1_000_000), (3, "y " * 500_000), (4, "y " * 300_000)]
+    assert got(make_docs(rows)) == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}

@@ -5,10 +5,11 @@ case. A document's set holds its distinct 5-word shingles; with fewer words, the
 whole sequence; without words, nothing, and then it links with nothing.
 
 1. One pass over the texts gives each document's set size and digest: documents
-   of equal sets are one class, and only classes are compared.
+   of equal sets are one class, and only classes are compared, under a number cut
+   from the digest (classes that get the same number are found and told apart).
 2. A second pass sends every shingle, packed, to the bucket of its hash. Shingles
-   of one document only can't be in an overlap, so what comes back is, for each
-   document, the rest of its set; a document with less than 80 % of its set left
+   of one class only can't be in an overlap, so what comes back is, for each
+   class, the rest of its set; a class with less than 80 % of its set left
    links with nothing and is done. Shingles that a task meets in several
    documents it reports itself, so a shingle of every document is one entry a
    task in its bucket.
@@ -30,10 +31,10 @@ pairs of blocks. Shingles are 48-bit values of a 64-bit hash in steps 2 to 4 and
 64-bit in step 1: two different shingles of a pair of documents that are equal
 there have a chance near 1e-9, and only they can blur a link.
 
-Null texts have no words. Rows of null doc_id have component null. Rows that
-repeat a doc_id with another text are told apart by their text; where that id is
-the least of both classes, the two count as linked.
-An empty table gives no rows. Extra columns are ignored.
+Null texts have no words. Rows of null doc_id have component null, but their texts
+link others. Rows that repeat a doc_id with another text are told apart by their
+text: nothing is keyed by doc_id. An empty table gives no rows. Extra columns are
+ignored. `keep` leaves one row of each component, whatever ids and rows repeat.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ CHUNK = 200  # texts hashed at once
 BLOCK_TOKENS = 4_000_000  # shingles a task packs at once
 BUCKET_TOKENS = 3_000_000  # shingles of a bucket, on average
 GROUP_TOKENS = 1_000_000  # shingles of a trie's group, at most on average
-SET_ROWS = "doc_id long, n long, d1 long, d2 long"
+SET_ROWS = "doc_id long, t1 long, t2 long, n long, d1 long, d2 long"
+ID_BITS = 2**63 - 2  # bits of a digest's first half that number its class
 PACKED = "bucket int, known boolean, docs binary, tokens binary, owners binary"
 FOUND = "doc_id long, shared long, tokens binary"
 
@@ -63,7 +65,7 @@ class _Words(dict):
     """Word -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -109,17 +111,23 @@ def _needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in batches:
         for start in range(0, b.num_rows, CHUNK):
             piece = b.slice(start, CHUNK)
-            yield piece.column(0).to_pylist(), shingle_sets(piece.column(1).to_pylist())
+            yield piece, shingle_sets(piece.column(texts).to_pylist())
+    _words.clear()  # a worker that lives on holds nothing for the steps after
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
+    return d1, d2
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches):
-        d = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None) for s in sets]
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())], names=["doc_id", "n", "d1", "d2"])
+    for rows, sets in _sets(batches, 3):
+        d = [_digest(s) if len(s) else (None, None) for s in sets]
+        yield pa.record_batch([*rows.columns[:3], *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [x[0] for x in d], [x[1] for x in d]))], names=["doc_id", "t1", "t2", "n", "d1", "d2"])
 
 
 def _packed(bucket: int, known: bool, docs: np.ndarray, tokens: np.ndarray, owner: np.ndarray) -> dict:
@@ -135,19 +143,16 @@ def _unpacked(docs: bytes, tokens: bytes, owners: bytes) -> tuple[np.ndarray, np
 _WITNESS = np.iinfo(np.int64).max  # stands for the documents of a token that a task has reported itself
 
 
-def _scatter(n_buckets: int):
-    """Packs the shingles of a task's documents by bucket."""
+def _scatter(n_buckets: int, renamed: dict[tuple[int, int], int]):
+    """Packs the shingles of a task's classes by bucket. renamed: numbers of the
+    classes whose digest's bits are another's too."""
 
-    def block(ids: list[int], sets: list[np.ndarray], salt: int) -> Iterator[dict]:
-        best: dict[bytes, int] = {}  # copies within a block: the least id stands for them
-        for k, s in enumerate(sets):
-            key = xxhash.xxh3_128_digest(s.tobytes())
-            if key not in best or ids[k] < ids[best[key]]:
-                best[key] = k
-        keep = sorted(best.values(), key=lambda k: ids[k])
-        docs = np.array([*(ids[k] for k in keep), _WITNESS], np.int64)
-        tokens = np.concatenate([sets[k] for k in keep]) >> np.uint64(16)
-        owner = np.repeat(np.arange(len(keep), dtype=np.uint32), [len(sets[k]) for k in keep])
+    def block(own: dict[int, np.ndarray], salt: int) -> Iterator[dict]:
+        keep = sorted(own)
+        sets = [own[k] for k in keep]
+        docs = np.array([*keep, _WITNESS], np.int64)
+        tokens = np.concatenate(sets) >> np.uint64(16)
+        owner = np.repeat(np.arange(len(keep), dtype=np.uint32), [len(x) for x in sets])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         first = np.r_[True, tokens[1:] != tokens[:-1]]
@@ -169,24 +174,26 @@ def _scatter(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held_ids: list = []
-        held_sets: list = []
+        held: dict[int, np.ndarray] = {}
         size, salt = 0, TaskContext.get().partitionId()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for row in block(held_ids, held_sets, salt * 7919):
+            for row in block(held, salt * 7919):
                 yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("docs", pa.binary()), ("tokens", pa.binary()), ("owners", pa.binary())]))
 
-        for ids, sets in _sets(batches):
-            for i, s in zip(ids, sets, strict=True):
-                if i is not None and len(s):
-                    held_ids.append(i)
-                    held_sets.append(s)
+        for _, sets in _sets(batches, 0):
+            for s in sets:
+                if not len(s):
+                    continue
+                d = _digest(s)
+                i = renamed.get(d, d[0] & ID_BITS)
+                if i not in held:  # copies within a block are one
+                    held[i] = s
                     size += len(s)
             if size >= BLOCK_TOKENS:
                 yield from flush()
-                held_ids, held_sets, size = [], [], 0
-        if held_ids:
+                held, size = {}, 0
+        if held:
             yield from flush()
 
     return run
@@ -206,12 +213,13 @@ def _shared(n_parts: int):
         del all_tokens, all_docs
         order = np.argsort(tokens, kind="stable")
         tokens, docs, sure = tokens[order], docs[order], sure[order]
-        # those that a task reported itself come besides a witness; of the others two make a shared one
-        opened = np.flatnonzero(~sure)
-        segment = np.cumsum(np.r_[True, tokens[opened][1:] != tokens[opened][:-1]]) - 1 if len(opened) else opened
-        many = np.bincount(segment, minlength=1) > 1
-        use = sure.copy()
-        use[opened] = many[segment] & (docs[opened] != _WITNESS) if len(opened) else False
+        # those that a task reported itself come besides a witness; of the others two different ones make a shared one
+        use, opened = sure.copy(), np.flatnonzero(~sure)
+        if len(opened):
+            first = np.r_[True, tokens[opened][1:] != tokens[opened][:-1]]
+            at, segment = np.flatnonzero(first), np.cumsum(first) - 1
+            many = np.minimum.reduceat(docs[opened], at) != np.maximum.reduceat(docs[opened], at)
+            use[opened] = many[segment] & (docs[opened] != _WITNESS)
         tokens, docs = tokens[use], docs[use]
         part = (_mixed(docs.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
         rows = []
@@ -363,7 +371,8 @@ def _blocks(rows: DataFrame, key: str, all_pairs: bool, seed: int) -> DataFrame:
     of blocks meets, else each block by itself."""
     size = F.octet_length("tokens") / 8
     sums = rows.groupBy(key).agg(F.ceil(F.sum(size) / GROUP_TOKENS).alias("many"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    dealt = rows.join(sums.select(key, "many"), key).withColumn("side", F.pmod(F.xxhash64(F.lit(seed), "id"), "many").cast("int"))
+    sums = Table(sums.select(key, "many"), "block-sizes").df  # written, so that a join with a very frequent key can be split
+    dealt = rows.join(sums, key).withColumn("side", F.pmod(F.xxhash64(F.lit(seed), "id"), "many").cast("int"))
     if all_pairs:
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many").cast("int") - 1)))
     else:
@@ -404,11 +413,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": pa.array(ids), "key": pa.array(keys), "first": pa.array(first), "least": pa.array(least)})
 
 
-def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
-    """Links (a, b) between class representatives that hold components together."""
+def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, renamed: dict[tuple[int, int], int], total: int) -> DataFrame:
+    """Links (a, b) between classes that hold components together."""
     n_buckets = max(1, -(-total // BUCKET_TOKENS))
     n_parts = max(1, -(-total // (2 * BUCKET_TOKENS)))
-    found = docs.mapInArrow(_scatter(n_buckets), PACKED).groupBy("bucket").applyInArrow(_shared(n_parts), "part int, docs binary, tokens binary, owners binary")
+    found = docs.select("text").mapInArrow(_scatter(n_buckets, renamed), PACKED).groupBy("bucket").applyInArrow(_shared(n_parts), "part int, docs binary, tokens binary, owners binary")
     shared = found.groupBy("part").applyInArrow(_collected, FOUND)
     left = shared.join(classes.select(F.col("id").alias("doc_id"), "n"), "doc_id").where(F.col("shared") * 100 >= F.col("n") * PERCENT)
     sets = Table(left.select(F.col("doc_id").alias("id"), "n", "tokens"), "shingle-sets").df
@@ -427,7 +436,8 @@ def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, total: int)
     # Keys of the same components are one: their documents need to meet only once. A set of
     # components is told by a sum and an exclusive or of hashes, so none is collected.
     hashed = held.select("key", "label").distinct().groupBy("key").agg(F.expr("bit_xor(xxhash64(label))").alias("x"), F.sum(F.xxhash64(F.lit(1), "label").cast("decimal(20, 0)")).alias("s"))
-    met = held.join(hashed.select("key", F.xxhash64("x", "s").alias("set")), "key").select(F.col("set").alias("key"), "id").distinct()
+    named = Table(hashed.select("key", F.xxhash64("x", "s").alias("set")), "key-sets").df
+    met = held.join(named, "key").select(F.col("set").alias("key"), "id").distinct()
     rest = met.join(labels, "id")
     return links.unionByName(Table(_blocks(rest, "key", True, ROUNDS + 1), "links").df)
 
@@ -435,29 +445,59 @@ def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, total: int)
 def _torn(keys: DataFrame) -> DataFrame:
     """The rows of those keys that documents of different components (label) hold."""
     torn = keys.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    return keys.join(torn, "key")
+    return keys.join(Table(torn, "torn-keys").df, "key")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs (doc_id, text)."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per row of docs (doc_id, two hashes of the text, set size and digest),
+    and the component of every class: d1, d2, component."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
     rows = Table(docs.mapInArrow(_digests, SET_ROWS), "shingle-digests").df
-    filled = rows.where("n > 0 and doc_id is not null")
-    classes = Table(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "classes").df
+    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.max("n").alias("n")).withColumn("id", F.col("d1").bitwiseAND(F.lit(ID_BITS)))
+    classes = Table(classes, "classes").df
+    # Of n classes, about n * n / 2 ** 63 get another's number: some hundred of 10 ** 11, none of 10 ** 9.
+    twice = classes.groupBy("id").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("id")
+    renamed = {(r["d1"], r["d2"]): xxhash.xxh3_64_intdigest(f"{r['d1']} {r['d2']}") >> 1 for r in classes.join(twice, "id").collect()}
+    for (d1, d2), i in renamed.items():
+        classes = classes.withColumn("id", F.when((F.col("d1") == d1) & (F.col("d2") == d2), F.lit(i)).otherwise(F.col("id")))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    tied = components(_links(spark, docs, classes, total), "ngram-components")
-    told = classes.join(tied, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component_id"))
-    out = filled.join(told, ["d1", "d2"]).select("doc_id", "n", "component_id")
+    tied = components(_links(spark, docs, classes, renamed, total), "ngram-components")
+    return rows, classes.join(tied, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component"))
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of docs (doc_id, text)."""
+    rows, told = _linked(docs)
+    filled = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2")
+    # the least doc_id of each class first, so that a component has one row for each of its classes
+    least = Table(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("least")).join(told, ["d1", "d2"]), "class-least").df
+    first = Table(least.groupBy("component").agg(F.min("least").alias("component_id")), "component-least").df
+    named = Table(least.join(first, "component").select("d1", "d2", "component_id"), "class-components").df
+    out = filled.join(named, ["d1", "d2"]).select("doc_id", "n", "component_id")
     rest = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of the least doc_id; rows of null
-    doc_id stay. All columns."""
-    tied = link_documents(docs).where("doc_id is not null").select(F.col("doc_id").alias("__id"), "component_id").distinct()
-    first = tied.groupBy("__id").agg(F.min("component_id").alias("c")).where("__id = c").select("__id")
-    kept = docs.join(first, docs["doc_id"].cast("long") == first["__id"], "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each component, with all columns: the one of the least doc_id (null
+    last), then of the least hash of the text, and one of rows that are equal in
+    both. Rows without words link with nothing and stay."""
+    rows, told = _linked(docs)
+    filled = rows.where("n > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")
+    least = filled.groupBy("d1", "d2").agg(F.min(place).alias("at")).join(told, ["d1", "d2"])
+    first = least.groupBy("component").agg(F.min("at").alias("at")).select("at.*")
+    many = filled.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("rows"))
+    both = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t1") == F.col("b.t1")) & (F.col("a.t2") == F.col("b.t2"))]
+    first = Table(first.select("doc_id", "t1", "t2").alias("a").join(many.alias("b"), both).select("a.*", "rows"), "kept").df
+    # Columns of docs keep their places under other names, so none can clash.
+    inner = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    inner = inner.withColumns({"i": doc_id.cast("long"), "t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
+    same = F.col("i").eqNullSafe(first["doc_id"]) & (inner["t1"] == first["t1"]) & (inner["t2"] == first["t2"])
+    once = inner.join(first.where("rows = 1"), same, "left_semi")
+    again = inner.join(first.where("rows > 1"), same, "left_semi").dropDuplicates(["i", "t1", "t2"])
+    empty = inner.where(text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]"))
+    return once.unionByName(again).unionByName(empty).drop("i", "t1", "t2").toDF(*docs.columns)
