@@ -27,6 +27,7 @@ untouched.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -124,9 +125,12 @@ class Texts:
         self.docs = [np.fromiter((known.setdefault(w, len(known)) for w in windows(t)), np.int32) for t in texts]
         self.words = list(known)
         grams: dict[bytes, int] = {}
-        rows = [[grams.setdefault(x[k : k + GRAM], len(grams)) for k in range(len(x) - GRAM + 1)] for w in self.words for x in [b" " + w + b" "]]
-        self.ends = np.cumsum([0, *map(len, rows)])
-        self.grams, self.n_grams = np.fromiter((g for r in rows for g in r), np.int32, int(self.ends[-1])), len(grams)
+        held = array("i")
+        for w in self.words:
+            x = b" " + w + b" "
+            held.extend([grams.setdefault(x[k : k + GRAM], len(grams)) for k in range(len(x) - GRAM + 1)])
+        self.ends = np.cumsum([0, *(max(0, len(w) + 3 - GRAM) for w in self.words)])
+        self.grams, self.n_grams = np.frombuffer(held, np.int32), len(grams)
 
     def texts_with_gram(self, docs: list[int]) -> np.ndarray:
         """For each gram, how many of these texts hold it."""
@@ -140,7 +144,7 @@ class Texts:
 
     def holding(self, some: np.ndarray) -> np.ndarray:
         """Whether each word holds one of these grams (a mask)."""
-        seen = np.cumsum(np.append(0, some[self.grams]))
+        seen = np.cumsum(np.append(0, some[self.grams]), dtype=np.int32)
         return seen[self.ends[1:]] > seen[self.ends[:-1]]
 
     def text(self, words: np.ndarray) -> bytes:
@@ -180,8 +184,9 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if len(toxic) < FEWEST or len(ordinary) < FEWEST:
         return Model()
-    all_ = Texts(toxic + ordinary)
-    sides = range(len(toxic)), range(len(toxic), len(all_.docs))
+    n_toxic, all_ = len(toxic), Texts(toxic + ordinary)
+    del toxic, ordinary
+    sides = range(n_toxic), range(n_toxic, len(all_.docs))
     (fit_t, cal_t), (fit_o, cal_o) = ([[d for k, d in enumerate(side) if (k % 3 < 2) == first] for first in (True, False)] for side in sides)
     in_t, in_o = all_.texts_with_gram(fit_t), all_.texts_with_gram(fit_o)
     least = max(3, 0.005 * len(fit_t))
