@@ -19,6 +19,20 @@ from .registry import FILTERS, token_filter
 
 Step = list[tuple[int, str, str]]
 
+#: Name -> (steps, least): the rules of a stemmer as ANSI expressions over {t}, for engines other than Spark.
+SQL: dict[str, tuple[list[str], int]] = {}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _told(fn: TermFn, *steps: str) -> TermFn:
+    """fn, which also knows its rules as SQL; patterns that look around have none."""
+    if not any("(?<" in s for s in steps):
+        fn.sql = list(steps)
+    return fn
+
 
 def step(*rules: tuple[int, str, str], start: bool = False) -> TermFn:
     """The first rule that fits; patterns stand at the end, or at the start, of the term."""
@@ -32,7 +46,11 @@ def step(*rules: tuple[int, str, str], start: bool = False) -> TermFn:
             out = F.when(fits, value) if out is None else out.when(fits, value)
         return out.otherwise(t)
 
-    return run
+    cases = []
+    for more, pattern, replacement in rules:
+        anchored = _quoted(f"^(?:{pattern})" if start else f"(?:{pattern})$").replace("{", "{{").replace("}", "}}")
+        cases.append(f"when length({{t}}) > {more} and regexp_matches({{t}}, {anchored}) then regexp_replace({{t}}, {anchored}, {_quoted(re.sub(r'[$]([0-9])', r'\\\1', replacement))})")
+    return _told(run, f"case {' '.join(cases)} else {{t}} end")
 
 
 def endings(*groups: tuple[int, str]) -> TermFn:
@@ -48,7 +66,8 @@ def endings(*groups: tuple[int, str]) -> TermFn:
             out = F.when(fits, value) if out is None else out.when(fits, value)
         return out.otherwise(t)
 
-    return run
+    cases = [f"when length({{t}}) > {more} and right({{t}}, {len(words.split()[0])}) in ({', '.join(map(_quoted, words.split()))}) then left({{t}}, length({{t}}) - {len(words.split()[0])})" for more, words in groups]
+    return _told(run, f"case {' '.join(cases)} else {{t}} end")
 
 
 def in_turn(*parts: TermFn) -> TermFn:
@@ -59,6 +78,8 @@ def in_turn(*parts: TermFn) -> TermFn:
             return t
         return let(parts[0](t), in_turn(*parts[1:])) if len(parts) > 1 else parts[0](t)
 
+    if all(hasattr(p, "sql") for p in parts):
+        run.sql = [s for p in parts for s in p.sql]
     return run
 
 
@@ -70,6 +91,12 @@ def stemmer(name: str, fn: TermFn, least: int = 0) -> None:
 
     make.__name__ = name
     token_filter(name)(make)
+    if hasattr(fn, "sql"):
+        SQL[name] = fn.sql, least
+
+
+def translated(old: str, new: str) -> TermFn:
+    return _told(lambda t: F.translate(t, old, new), f"translate({{t}}, '{old}', '{new}')")
 
 
 # Fixed values in all rules below: the endings, what replaces them and the lengths that they need.
@@ -111,7 +138,7 @@ stemmer("hungarian_light_stem", endings(
     (5, "at et ot öt ra re ba be on en ön ul ül ig ek ok ök ak ás és"), (4, "á é a e k t"),
 ), 4)
 stemmer("norwegian_light_stem", endings((5, "ene ede ane het ert"), (4, "er en et ar as es eg"), (3, "a e s")), 4)
-stemmer("bengali_stem", endings((5, "গুলি গুলো দের" + "​" if False else "গুলি গুলো েদের"), (4, "গুল েরা দের কের"), (3, "ের তে কে রা তা না সে"), (2, "া ি ী ু ূ ে ৈ ো ৌ ্")), 4)
+stemmer("bengali_stem", endings((5, "গুলি গুলো েদের"), (4, "গুল েরা দের কের"), (3, "ের তে কে রা তা না সে"), (2, "া ি ী ু ূ ে ৈ ো ৌ ্")), 4)
 stemmer("hindi_stem", endings(
     (6, "ाइयाँ ाइयां ाइयों ाऊंगा ाऊंगी ाएंगी ाएंगे"),
     (5, "एंगी एंगे ताएं ताओं नाएं नाओं ाएगा ाएगी ाओगी ाओगे ातीं ियाँ ियां ियों ूंगा ूंगी ेंगी ेंगे"),
@@ -124,26 +151,27 @@ FOLD = ("àáâäòóôöèéêëùúûüìíîï", "aaaaooooeeeeuuuuiiii")
 
 
 def _folded(more: str = "", to: str = "") -> TermFn:
-    return lambda t: F.translate(t, FOLD[0] + more, FOLD[1] + to)
+    return translated(FOLD[0] + more, FOLD[1] + to)
 
 
 stemmer("spanish_light_stem", in_turn(_folded(), step((0, "[oae]", ""), (0, "eses", "es"), (0, "ces", "z"), (0, "[oae]s", ""))), 5)
 stemmer("italian_light_stem", in_turn(_folded(), step((0, "[ih][ei]", ""), (0, "i[ao]", ""), (0, "[eiao]", ""))), 6)
 stemmer("portuguese_light_stem", in_turn(
-    step((4, "(?<=[rslz])es", ""), (3, "ns", "m"), (4, "[eé]is", "el"), (4, "ais", "al"), (4, "óis", "ol"), (4, "is", "il"), (3, "[õã]es", "ão"), (6, "mente", ""), (3, "s", "")),
+    step((4, "([rslz])es", "$1"), (3, "ns", "m"), (4, "[eé]is", "el"), (4, "ais", "al"), (4, "óis", "ol"), (4, "is", "il"), (3, "[õã]es", "ão"), (6, "mente", ""), (3, "s", "")),
     step((7, "inha", "inho"), (7, "iaca", "iaco"), (7, "eira", "eiro"), (6, "(os|ic|id|ad|iv|am)a", "$1o"), (6, "ona", "ão"), (6, "ora", "or"), (6, "esa", "ês"), (6, "na", "no")),
     step((4, "[eao]", "")), _folded("ãõç", "aoc"),
 ), 4)
 stemmer("russian_light_stem", in_turn(
     endings((6, "иями оями"), (5, "иям иях оях ями оям оьв ами его ему ери ими ого ому ыми оев"),
             (4, "ая яя ях юю ах ею их ия ию ьв ою ую ям ых ея ам ем ей ём ев ий им ое ой ом ов ые ый ым ми"), (3, "а е и о у й ы я ь")),
-    step((3, "[ьи]", ""), (3, "(?<=н)н", "")),
+    step((3, "[ьи]", ""), (3, "нн", "н")),
 ), 4)
-stemmer("german_light_stem", in_turn(step((0, "(?<=er|el)n", ""), (0, "e[nrs]", ""), (0, "[esn]", "")), lambda t: F.translate(t, "äöü", "aou")), 5)
+stemmer("german_light_stem", in_turn(step((0, "(e[rl])n", "$1"), (0, "e[nrs]", ""), (0, "[esn]", "")), translated("äöü", "aou")), 5)
 stemmer("german_minimal_stem", step((0, "ern", ""), (0, "e[nrs]", ""), (0, "[es]", "")), 5)
-stemmer("english_minimal_stem", step((2, "[us]s", "$0"), (3, "(?<![ae])ies", "y"), (3, "[iaoe]es", "$0"), (2, "s", "")), 3)
+stemmer("english_minimal_stem", step((2, "[us]s", "$0"), (3, "([^ae])ies", "$1y"), (3, "[iaoe]es", "$0"), (2, "s", "")), 3)
 stemmer("french_minimal_stem", step((0, "aux", "al"), (0, "[sx]", "")), 4)
-stemmer("czech_stem", in_turn(F.lower,
+lowered = _told(lambda t: F.lower(t), "lower({t})")
+stemmer("czech_stem", in_turn(lowered,
     endings((7, "atech"), (6, "ětem etem atům"), (5, "ech ich ích ého ěmi emi ému ěte ete ěti eti ího iho ími ímu imu ách ata aty ých ama ami ové ovi ými"),
             (4, "em es ém ím ům at ám os us ým mi ou"), (3, "a e i o u ů y á é í ý ě")),
     endings((5, "ov in ův")),
@@ -179,8 +207,8 @@ def _latvian(t: Column) -> Column:
 
 stemmer("latvian_stem", _latvian, 4)
 stemmer("arabic_stem", in_turn(
-    lambda t: step((4, "وال|بال|كال|فال", ""), (3, "ال|لل", ""), (3, "و", ""), start=True)(t),
-    *[(lambda x: lambda t: step((len(x) + 1, x, ""))(t))(x) for x in "ها ان ات ون ين يه ية ه ة ي".split()],
+    step((4, "وال|بال|كال|فال", ""), (3, "ال|لل", ""), (3, "و", ""), start=True),
+    *[step((len(x) + 1, x, "")) for x in "ها ان ات ون ين يه ية ه ة ي".split()],
 ), 4)
 stemmer("swedish_minimal_stem", in_turn(step((4, "s", "")), step((6, "arne|erna|arna|orna|aren", ""), (5, "are", ""), (4, "a[rt]|e[rtn]|or", ""), (3, "[aen]", ""))))
 
@@ -213,7 +241,8 @@ def _listed(lower: bool, *groups: tuple[int, str]) -> TermFn:
                 out = F.when(fits, stem) if out is None else out.when(fits, stem)
         return out.otherwise(t)
 
-    return run
+    cases = [f"when ends_with({{t}}, '{w}') and strlen(left({{t}}, length({{t}}) - {len(w)})) >= {least} then left({{t}}, length({{t}}) - {len(w)})" for least, words in groups for w in words.split()]
+    return _told(run, *["lower({t})"] * lower, f"case {' '.join(cases)} else {{t}} end")
 
 
 stemmer("kannada_stem", _listed(True, (3, "ಗಳನ್ನು ಗಳಿಗೆ ಗಳಲ್ಲಿ ಗಳಿಂದ ಗಳು ಗಳ ನ್ನು ಇಗೆ ಅಲ್ಲಿ ಇಂದ ಲ್ಲಿ ನಲ್ಲಿ"), (6, "ವು ನು ಗೆ ದ ರು")), 3)
@@ -434,4 +463,4 @@ def french_light_stem() -> Filter:
 
 
 stemmer("spanish_minimal_stem", lambda t: F.when(~F.endswith(t, F.lit("s")), t).otherwise(in_turn(_folded("ñ", "n"), step((4, "eses", "es"), (3, "ces", "z"), (3, "es", ""), (0, "([ao])s", "$1")))(t)), 4)
-stemmer("galician_minimal_stem", step((3, "(?<=[^s])s", "")), 4)
+stemmer("galician_minimal_stem", step((3, "([^s])s", "$1")), 4)

@@ -1,7 +1,7 @@
 """Queries over the tables, one for each component, and SQL for those that SQL can express.
 
 Filters that look at one term run over the distinct terms of all documents with
-their counts: (term, out, n), an empty `out` list giving no row. Filters over a
+their counts, and over the probes: (term, out, n), an empty `out` list giving no row. Filters over a
 document's stream run document by document: (doc_id, ord, term, position).
 """
 
@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..data.stopwords import stop_words
+from ..functions import stemmers
 from ..functions.registry import FILTERS, NORMALIZERS, TOKENIZERS
 from ..shipping import ship
 from ..tokens import token
 from .analyzers import analyzer, analyzer_names, available
+from .probes import PROBES
+from .term_sql import quoted, reversed_, stemmer_query, term_sql, unless_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +32,8 @@ PARAMS: dict[str, dict] = {
     "ngram": {"min_gram": 2, "max_gram": 3}, "pattern_replace": {"pattern": "[aeiou]", "replacement": "_"}, "pattern_capture": {"patterns": ("([aeiou]+)",)}, "pattern_typing": {"rules": (("^[0-9]+$", "number"),)},
     "pattern_keyword_marker": {"pattern": "^th"}, "redact": {"patterns": ("idiot",)}, "predicate": {"predicates": (("min_length", 4), "is_alphabetic")},
     "dictionary_decompounder": {"words": ("the", "and", "hand", "er", "ou")}, "hyphenation_decompounder": {"words": ("the", "and", "er", "hand")}, "hunspell": {"rules": ((True, "", "ing"), (True, "0", "s"))},
-    "multiplexer": {}, "conditional": {},
+    "multiplexer": {"filters": (FILTERS["lowercase"](), FILTERS["reverse"]())}, "conditional": {"pred": ("pattern", "^s"), "then": FILTERS["uppercase"]()},
+    "keyword_marker": {"words": ("the", "Hello", "sooooo"), "then": FILTERS["reverse"]()}, "protected_words": {"words": ("the", "Hello", "sooooo"), "then": FILTERS["reverse"]()},
 }
 
 
@@ -41,7 +45,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _term_filter(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1))
-        terms = _read(spark, sf_dir, "documents").select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        terms = _read(spark, sf_dir, "documents").select(F.explode(found).alias("term"), F.lit(1).alias("n"))
+        probes = spark.range(1).select(F.explode(F.array(*map(F.lit, PROBES))).alias("term"), F.lit(0).alias("n"))
+        terms = terms.unionByName(probes).groupBy("term").agg(F.sum("n").alias("n"))
         one = F.array(token(F.col("term"), F.lit(0), F.octet_length("term"), F.lit(0)))
         return terms.select("term", "n", F.explode(FILTERS[name](**PARAMS.get(name, {}))(one)).alias("t")).select("term", F.col("t.term").alias("out"), "n")
 
@@ -128,7 +134,7 @@ def queries() -> dict[str, Query]:
 
 _TAG = "case when {when} then [term, {tag}] else [term] end"
 _SIMPLE = {
-    "lowercase": "lower(term)", "uppercase": "upper(replace(term, 'ß', 'SS'))", "reverse": "reverse(term)", "truncate": "term[:10]", "char_count": None, "rot13": None,
+    "lowercase": "lower(term)", "uppercase": "upper(replace(term, 'ß', 'SS'))", "reverse": reversed_(), "truncate": "term[:10]", "char_count": None, "rot13": None,
     "hex_encode": "lower(hex(encode(term)))", "base64_encode": "base64(encode(term))", "url_encode": "url_encode(term)", "pad": "case when length(term) >= 8 then term else lpad(term, 8, '0') end",
     "repeat_char": "regexp_replace(term, '(.)', '\\1\\1', 'g')", "hyphenated_words": "case when length(term) > 1 and term like '%-' then term[:-2] else term end",
     "delimited_payload": None, "partial_mask": "case when length(term) <= 4 then term else term[:2] || repeat('*', length(term) - 4) || right(term, 2) end",
@@ -138,8 +144,7 @@ _SIMPLE = {
     "lookup": "case term when 'the' then 'THE' when 'of' then 'OF' else term end", "dictionary_stem": "case term when 'the' then 'th' else term end", "stemmer_override": "case term when 'the' then 'th' else term end",
     "diacritic_strip": "regexp_replace(term, '[\\x{300}-\\x{36F}]', '', 'g')", "irish_lowercase": "lower(term)", "french_minimal_stem": "case when length(term) < 4 then term when term like '%aux' then term[:-4] || 'al' when regexp_matches(term, '[sx]$') then term[:-2] else term end",
     "german_minimal_stem": "case when length(term) < 5 then term when term like '%ern' then term[:-4] when regexp_matches(term, 'e[nrs]$') then term[:-3] when regexp_matches(term, '[es]$') then term[:-2] else term end",
-    "pattern_replace": "regexp_replace(term, '[aeiou]', '_', 'g')", "keyword_marker": "term", "protected_words": "term", "multiplexer": "term", "conditional": "term",
-}
+    }
 
 
 def _term_sql() -> dict[str, str]:
@@ -147,11 +152,12 @@ def _term_sql() -> dict[str, str]:
     tag = lambda when, t: _TAG.format(when=when, tag=t)
     words = lambda language: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words(language)) + ")"
     return out | {
-        "char_count": "[term, '_len:' || length(term)]",
+        "char_count": tag("not starts_with(term, '_len:')", "'_len:' || length(term)"),
         "byte_length": "[term, '_bytes:' || strlen(term)]",
         "length_band": "[term, '_length_band:' || case when length(term) <= 3 then 'short' when length(term) <= 8 then 'medium' else 'long' end]",
         "length": "case when length(term) between 3 and 8 then [term] else [] end",
         "codepoint_count": "case when length(term) between 3 and 8 then [term] else [] end",
+        "pattern_replace": unless_empty("regexp_replace(term, '[aeiou]', '_', 'g')"),
         "keep_words": "case when term in ('the', 'of', 'and') then [term] else [] end",
         "stop": f"case when term in {words('english')} then [] else [term] end",
         "keyword_repeat": "[term, term]",
@@ -175,8 +181,10 @@ def _term_sql() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    terms = r"with w as (select term, count(*) as n from (select unnest(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) as term from documents) group by term) "
-    out = {f"flt_{k}": f"{terms} select term, unnest({v}) as out, n from w" for k, v in _term_sql().items()}
+    probes = ", ".join(map(quoted, PROBES))
+    terms = rf"with w as (select term, sum(k)::bigint as n from (select unnest(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) as term, 1 as k from documents union all select unnest([{probes}]), 0) group by term)"
+    out = {f"flt_{k}": f"{terms} select term, unnest({v}) as out, n from w" for k, v in (_term_sql() | term_sql()).items()}
+    out |= {f"flt_{k}": stemmer_query(k, terms) for k in stemmers.SQL}
     seq = r"with t as (select doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') as ws from documents) "
     out["flt_limit"] = seq + "select doc_id, i - 1 as ord, ws[i] as term, i - 1 as position from t, range(1, 6) r(i) where i <= len(ws)"
     out["flt_limit_token_position"] = seq + "select doc_id, i - 1 as ord, ws[i] as term, i - 1 as position from t, range(1, 12) r(i) where i <= len(ws)"
