@@ -19,7 +19,7 @@ from ..shipping import ship
 from ..tokens import token
 from .analyzers import analyzer, analyzer_names, available
 from .probes import PROBES
-from .term_sql import quoted, reversed_, stemmer_query, term_sql, unless_empty
+from .term_sql import _BLANK, analyzer_query, quoted, reversed_, stemmer_query, term_sql, unless_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,12 +88,16 @@ def _normalizer(name: str) -> Query:
 
 
 def _analyzer(name: str) -> Query:
-    """term, tf, df over all documents: one pass, combined by document before the shuffle."""
+    """term, tf, df over all documents. A document gives each of its terms once for
+    every occurrence and once for itself, so one aggregation by term is all: it is
+    combined in each task, and a row per term and task is shuffled."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _read(spark, sf_dir, "documents").select("doc_id", F.explode(analyzer(name).terms(F.col("text"))).alias("term"))
-        by_doc = found.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-        return by_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+        made = F.transform(F.array(analyzer(name).terms(F.col("text"))), lambda t: F.struct(t.alias("all"), F.array_distinct(t).alias("once")))[0]
+        rows = _read(spark, sf_dir, "documents").select(made.alias("t"))
+        counted = lambda c, tf, df: F.transform(F.col(c), lambda x: F.struct(x.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+        found = rows.select(F.explode(F.concat(counted("t.all", 1, 0), counted("t.once", 0, 1))).alias("c")).select("c.*")
+        return found.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
     return run
 
@@ -111,10 +115,11 @@ def overlap_with_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         w = df.select(key, words(F.col("text")).alias("w")).where("size(w) >= 8")
-        found = w.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " "))).alias("gram"))
-        return found.distinct()
+        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " ")))).alias("gram"))
 
-    hits = grams(_read(spark, sf_dir, "documents"), "doc_id").join(grams(_read(spark, sf_dir, "benchmark"), "item_id"), "gram")
+    # Grams of documents meet those of the benchmark first; only common ones are made distinct.
+    items = grams(_read(spark, sf_dir, "benchmark"), "item_id").distinct()
+    hits = grams(_read(spark, sf_dir, "documents"), "doc_id").join(items, "gram").distinct()
     return hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("grams"))
 
 
@@ -185,6 +190,8 @@ def oracle_sql() -> dict[str, str]:
     terms = rf"with w as (select term, sum(k)::bigint as n from (select unnest(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) as term, 1 as k from documents union all select unnest([{probes}]), 0) group by term)"
     out = {f"flt_{k}": f"{terms} select term, unnest({v}) as out, n from w" for k, v in (_term_sql() | term_sql()).items()}
     out |= {f"flt_{k}": stemmer_query(k, terms) for k in stemmers.SQL}
+    lists = _term_sql() | term_sql()
+    out |= {f"analyzer_{k}": q for k in analyzer_names() if available(k) and (q := analyzer_query(analyzer(k), lists, stop_words))}
     seq = r"with t as (select doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') as ws from documents) "
     out["flt_limit"] = seq + "select doc_id, i - 1 as ord, ws[i] as term, i - 1 as position from t, range(1, 6) r(i) where i <= len(ws)"
     out["flt_limit_token_position"] = seq + "select doc_id, i - 1 as ord, ws[i] as term, i - 1 as position from t, range(1, 12) r(i) where i <= len(ws)"
@@ -193,6 +200,10 @@ def oracle_sql() -> dict[str, str]:
     out["tok_edge_ngram"] = "select p_partkey as id, n - 1 as ord, p_name[:n] as term, 0::bigint as start_offset, strlen(p_name[:n]) as end_offset, n - 1 as position from part, range(1, 3) r(n) where n <= length(p_name)"
     out["norm_lowercase"] = "select doc_id as id, lower(text) as text from documents"
     out["norm_uppercase"] = "select doc_id as id, upper(replace(text, 'ß', 'SS')) as text from documents"
+    blank = _BLANK.replace("'", "''")
+    out["norm_trim"] = f"select doc_id as id, regexp_replace(text, '^{blank}+|{blank}+$', '', 'g') as text from documents"
+    out["norm_collapse_whitespace"] = f"select doc_id as id, regexp_replace(text, '{blank}+', ' ', 'g') as text from documents"
+    out["norm_pattern_replace"] = f"select doc_id as id, regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}_{blank[1:-1]}]', '', 'g') as text from documents"
     out["norm_mapping"] = "select doc_id as id, replace(replace(text, 'the', 'le'), 'le', 'la') as text from documents"
     out["norm_unicode_nfc"] = "select doc_id as id, nfc_normalize(text) as text from documents"
     counts = "select term, count(*) as tf, count(distinct doc_id) as df from (select doc_id, {terms} as term from documents) {where} group by term"

@@ -131,3 +131,33 @@ def stemmer_query(name: str, terms: str) -> str:
     for s in steps:
         inner = f"select term, n, {s.format(t='t')} as t from ({inner})"
     return f"{terms} select term, case when length(term) < {least} then term else t end as out, n from ({inner})"
+
+
+# Analyzers.
+
+_W = r"[\p{L}\p{M}\p{N}_]"
+#: The words of the standard tokenizer without looking around; ideographs and hiragana, which stand alone there, are not told apart.
+_STANDARD = rf"(?:{_W}*(?:\p{{L}}(?:[''’.:·]\p{{L}})+|\p{{N}}(?:[.,;'']\p{{N}})+))+{_W}*|{_W}+"
+_TOKENS = {"standard": f"regexp_extract_all(text, '{_STANDARD}')"}
+
+
+def analyzer_query(spec, lists: dict[str, str], stop_words) -> str | None:
+    """tf and df of every term, each filter of the specification one subquery; None where a part has no SQL."""
+    if spec.normalizers or spec.custom or spec.tokenizer[0] not in _TOKENS or spec.tokenizer[1]:
+        return None
+    q = f"select doc_id, term, count(*) as n from (select doc_id, unnest({_TOKENS[spec.tokenizer[0]]}) as term from documents) group by doc_id, term"
+    for name, params in spec.filters:
+        if name == "stop":
+            words = stop_words(params.get("words", "english"))
+            q = f"select * from ({q}) where term not in ({', '.join(map(quoted, words))})"
+        elif params or (name not in lists and name not in stemmers.SQL):
+            return None
+        elif name in stemmers.SQL:
+            steps, least = stemmers.SQL[name]
+            q = f"select doc_id, n, term, term as t from ({q})"
+            for s in steps:
+                q = f"select doc_id, n, term, {s.format(t='t')} as t from ({q})"
+            q = f"select doc_id, n, case when length(term) < {least} then term else t end as term from ({q})"
+        else:
+            q = f"select doc_id, n, unnest({lists[name]}) as term from ({q})"
+    return f"select term, sum(n)::bigint as tf, count(distinct doc_id) as df from ({q}) group by term"
