@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..tokens import Filter, inject, one, python_expand, python_terms, rewrite
+from ..tokens import Filter, python_expand, python_terms, rewrite
 from .registry import token_filter
 
 #: Rewriting rules shared by both rule sets, then those that differ (approximate, exact).
@@ -95,22 +95,119 @@ def cologne(term: str) -> str:
     return "".join(d for k, d in enumerate(once) if d != "0" or not k)
 
 
-ENCODERS = {"soundex": american_soundex, "refined_soundex": refined_soundex, "cologne": cologne}
+def _scan(word: str, rules: list[tuple[re.Pattern, str]], start: int = 0):
+    """The first rule that fits at each place, from left to right: (what it covers, its code or None)."""
+    at = start
+    while at < len(word):
+        found = next(((m, code) for pattern, code in rules if (m := pattern.match(word, at))), None)
+        m, code = found or (None, None)
+        yield (m[0] if m else word[at]), code
+        at = m.end() if m else at + 1
+
+
+def _rules(text: str) -> list[tuple[re.Pattern, str]]:
+    """Pairs of a pattern and a code; an underscore is no code."""
+    parts = text.split()
+    return [(re.compile(p, re.S), "" if c == "_" else c) for p, c in zip(parts[::2], parts[1::2], strict=True)]
+
+
+#: The first letters that sound otherwise, then the codes of letters by their neighbours, as published.
+METAPHONE_START = [("^[KGP](?=N)", ""), ("^A(?=E)", ""), ("^W(?=R)", ""), ("^WH", "W"), ("^X", "S")]
+METAPHONE = _rules(r"""
+([^C])(?<=\1\1) _  ^A A  ^E E  ^I I  ^O O  ^U U  (?<=M)B\Z _  B B  (?<=S)C(?=[EIY]) _  (?<=S)C(?=H) K  C(?=IA|H) X  C(?=[EIY]) S  C K
+DG[EIY] J  D T  G(?=H\Z|H[^AEIOU]) _  (?<=.)G(?=N) _  G(?=[EIY]) J  G K  H\Z _  (?<=[CSPTG])H _  H(?=[AEIOU]) H
+F F  J J  L L  M M  N N  R R  (?<=C)K _  K K  P(?=H) F  P P  Q K  S(?=H|IO|IA) X  S S  T(?=IA|IO) X  T(?=CH) _  T(?=H) 0  T T
+V F  W(?=[AEIOU]) W  Y(?=[AEIOU]) Y  X KS  Z S  . _
+""")
+
+
+def metaphone(term: str, length: int = 4) -> str:
+    word = term.upper()
+    if len(word) < 2:
+        return word
+    for pattern, to in METAPHONE_START:
+        changed = re.sub(pattern, to, word)
+        if changed != word:
+            word = changed
+            break
+    return "".join(code for _, code in _scan(word, METAPHONE))[: length or 4]
+
+
+#: Replacements one after another; 2 stands for a silent letter, 3 for a vowel until the end.
+CAVERPHONE = """
+cough cou2f rough rou2f tough tou2f enough enou2f gn 2n mb m2 cq 2q ci si ce se cy sy tch 2ch c k q k x k v f dg 2g tio sio tia sia d t ph fh b p sh s2 z s
+a 3 e 3 i 3 o 3 u 3 3gh3 3kh3 gh 22 g k ss s tt t pp p kk k ff f nn n rr r ll l mm m
+""".split()
+
+
+def caverphone(term: str, length: int = 6) -> str:
+    """Six signs, or with more than six asked for, six and then ones."""
+    word = re.sub("[^a-z]", "", term.lower())
+    if not word:
+        return ""
+    word = word.removesuffix("e")
+    for old, new in zip(CAVERPHONE[::2], CAVERPHONE[1::2], strict=True):
+        word = word.replace(old, new)
+    return word.replace("3", "").upper()[:6].ljust(length, "1")
+
+
+#: Starts and endings that are written otherwise first, then codes of letters; = repeats the last letter of the code.
+NYSIIS_START = [("MAC", "MCC"), ("KN", "NN"), ("K", "C"), ("PH|PF", "FF"), ("SCH", "SSS")]
+NYSIIS_END = [("EE|IE", "Y"), ("DT|RT|RD|NT|ND", "D")]
+NYSIIS = _rules("EV AF [AEIOU] A Q G Z S M N K(?=N) N K C SCH SSS PH FF (?<=[AEIOU])H(?=[AEIOU]) H H = (?<=[AEIOU])W = W W")
+
+
+def nysiis(term: str, length: int = 6) -> str:
+    """Rewritten letters are not repeated; letters that no rule knows are kept as they stand."""
+    word = re.sub("[^A-Z]", "", term.upper())
+    for rules, anchored in ((NYSIIS_START, r"\A(?:{})"), (NYSIIS_END, r"(?:{})\Z")):
+        fitting = next(((anchored.format(p), to) for p, to in rules if re.search(anchored.format(p), word)), None)
+        word = re.sub(*fitting, word) if fitting else word
+    key = word[:1]
+    for letters, code in _scan(word, NYSIIS, 1):
+        if code is None or code == "=":
+            key += key[-1] if code else letters
+            continue
+        for c in code:
+            key += c if key[-1] != c else ""
+    key = key[:1] + re.sub("S+\\Z", "", key[1:])
+    key = key[:-2] + "Y" if key.endswith("AY") else key
+    return (key[:1] + re.sub("A+\\Z", "", key[1:]))[:length]
+
+
+#: Codes of letters and groups of letters; vowels count at the start only.
+DAITCH_MOKOTOFF = _rules("""
+^[AEIOUY] 0 [AEIOUYH] _ B 7 C[HK] 5 C[SZ] 4 C 5 D[TZS] 4 D 3 F 7 G 5 J 4 KH 5 K 5 L 8 [MN] 6 P[HF] 7 P 7 Q 5 R 9
+SH 4 SCH 4 ST(?=[RSC]) 2 ST 4 S 4 T[SZ] 4 TH 3 T 3 [VW] 7 X 5 Z[HS] 4 Z 4
+""")
+
+
+def daitch_mokotoff(term: str) -> str:
+    """Six digits; equal digits side by side count once."""
+    word = re.sub("[^A-Z]", "", term.upper())
+    codes = [code for _, code in _scan(word, DAITCH_MOKOTOFF) if code]
+    once = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c]
+    return "".join(once)[:6].ljust(6, "0") if word else ""
+
+
+ENCODERS = {
+    "soundex": american_soundex, "refined_soundex": refined_soundex, "cologne": cologne, "metaphone": metaphone, "double_metaphone": metaphone, "caverphone1": caverphone,
+    "caverphone2": lambda t: caverphone(t, 10), "nysiis": nysiis, "daitch_mokotoff": daitch_mokotoff,
+}
 
 
 @token_filter()
-def phonetic(encoder: str = "soundex", replace: bool = True) -> Filter:
-    """Codes in the place of terms, or after them; terms without a code stay."""
+def phonetic(encoder: str = "soundex", replace: bool = True, max_code_length: int = 4) -> Filter:
+    """Codes in the place of terms, or after them; terms without a code stay. The length holds for metaphone,
+    whose second code is taken to be its first."""
     if encoder == "soundex" and replace:
         plain = lambda t: F.regexp_replace(t, "[^A-Za-z]", "")
         return rewrite(lambda t: F.when(plain(t) == "", t).otherwise(F.soundex(plain(t))))
-    code = ENCODERS[encoder]
+    code = ENCODERS[encoder] if "metaphone" not in encoder else lambda t: metaphone(t, max_code_length)
     if replace:
         return python_terms(lambda t: code(t) or t)
-    return python_expand(lambda t: [t, code(t)] if code(t) and code(t) != t else [t])
-
+    return python_expand(lambda t: [t, code(t)] if code(t) else [t])
 
-__all__ = ["inject", "one"]
 
 
 #: Letters and signs that follow each other, and the one that they make, as offsets into a script's block.

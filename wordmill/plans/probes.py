@@ -51,7 +51,10 @@ canções pães animais papéis anéis fósseis homens livros
 کتێبەکان پیاوێک ماڵەکە دایکمان شارەکانی خوێندنەوە كوردستان
 ಮನೆಗಳಲ್ಲಿ ಪುಸ್ತಕಗಳು ಮರಗಳಿಗೆ ಊರಿಂದ நாடுகளில் மரங்கள் வீட்டுக்கு அவனால் పుస్తకాలను ఇంటిలో మనుషులు
 நான் ๆไทย ភាសាខ្មែរ བོད་ཡིག ᏣᎳᎩ שָׁלוֹם ספרים מלך ייִדיש Łódź ÅNGSTRÖM Ærø Öl șțŞŢ ţăşi čačak љубав ġħ
-casas corazones camiones lápices tesis lunes voces autobuses reyes jerseys menús clubs
+casas corazones camiones lápices tesis lunes voces autobuses reyes jerseys menús clubs ciudades bosques
+bobalhões quilométricas comunismo belezas boataria
+ανθρωποι αγελαδων βιβλιου ελεφαντεσ συνεχεισ οριζομαι
+Robert Smith Knuth Schmidt Wright Phillips Thomas Macdonald Knight Peters Schwarz Rough Lough Whittle Czarny Strauss
 """
 
 PROBES: tuple[str, ...] = tuple(dict.fromkeys([*_WORDS.split(), "two words", " padded ", "tab\tinside", "\x1b[31mred\x1b[0m", "e\u0301te\u0301", "abcdefghijklmnopqrstuvwxyz0123456789", ""]))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..data.stopwords import stop_words
 from ..functions import stemmers
+from ..functions.phonetics import ENCODERS
 from ..functions.registry import FILTERS, NORMALIZERS, TOKENIZERS
 from ..shipping import ship
 from ..tokens import token
@@ -42,14 +43,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _term_filter(name: str) -> Query:
+def _term_filter(name: str, **params) -> Query:
+    params = params or PARAMS.get(name, {})
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1))
         terms = _read(spark, sf_dir, "documents").select(F.explode(found).alias("term"), F.lit(1).alias("n"))
         probes = spark.range(1).select(F.explode(F.array(*map(F.lit, PROBES))).alias("term"), F.lit(0).alias("n"))
         terms = terms.unionByName(probes).groupBy("term").agg(F.sum("n").alias("n"))
         one = F.array(token(F.col("term"), F.lit(0), F.octet_length("term"), F.lit(0)))
-        return terms.select("term", "n", F.explode(FILTERS[name](**PARAMS.get(name, {}))(one)).alias("t")).select("term", F.col("t.term").alias("out"), "n")
+        return terms.select("term", "n", F.explode(FILTERS[name](**params)(one)).alias("t")).select("term", F.col("t.term").alias("out"), "n")
 
     return run
 
@@ -129,6 +132,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     out = {f"flt_{n}": (_stream_filter if n in STREAM else _term_filter)(n) for n in sorted(FILTERS)}
+    out |= {f"flt_phonetic_{n}": _term_filter("phonetic", encoder=n) for n in sorted(ENCODERS)}
     out |= {f"tok_{n}": _tokenizer(n) for n in sorted(TOKENIZERS)}
     out |= {f"norm_{n}": _normalizer(n) for n in sorted(NORMALIZERS)}
     out |= {f"analyzer_{n}": _analyzer(n) for n in analyzer_names() if available(n)}
