@@ -15,6 +15,8 @@ row, so its turns meet in one task: its digest is of one text, in order.
 
 from __future__ import annotations
 
+import re
+import string
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -35,23 +37,50 @@ class Template:
         default_factory=lambda: {("start", "system"): "told", ("start", "user"): "asked", ("told", "user"): "asked", ("asked", "assistant"): "answered", ("answered", "user"): "asked"}
     )
     accepting: tuple[str, ...] = ("answered",)
+    reserved: tuple[str, ...] = ("[/OUT]",)  # further strings that no text may hold as they are
 
 
-#: What stands for the first character of a control string, and for the escape character itself.
-ESCAPE, OF_ANGLE, OF_BRACKET, OF_SELF = "\\", "\\l", "\\b", "\\s"
-CONTROL_WORDS = "INST|SYS|OUT|ROLE"
+ESCAPE = "\\"
 
 
-def escape(text: Column) -> Column:
-    """No control string is left, and no backslash but those of the escapes."""
-    out = F.replace(text, F.lit(ESCAPE), F.lit(OF_SELF))
-    out = F.regexp_replace(out, rf"\[(?=/?(?:{CONTROL_WORDS})\])", r"\\b")
-    return F.regexp_replace(out, r"<(?=/?s>)", r"\\l")
+def _controls(t: Template) -> list[str]:
+    """Every string that a reader of the format looks for, without the blanks beside it."""
+    marks = [*t.marks.values(), t.general]
+    return sorted({c.strip() for c in (t.begin, t.end, *t.reserved, *(m for pair in marks for m in pair)) if c.strip()})
 
 
-def unescape(text: Column) -> Column:
-    for short, plain in ((OF_ANGLE, "<"), (OF_BRACKET, "["), (OF_SELF, ESCAPE)):
-        text = F.replace(text, F.lit(short), F.lit(plain))
+def _codes(t: Template) -> dict[str, str]:
+    """The escape character and each first character of a control string -> what stands for it.
+
+    A code is the escape character and a letter or digit that no control string holds, so no escape makes one.
+    Templates that can't be read back are an error: without an end, with the escape character in a control string,
+    with one mark that starts another, or where a control string that is searched for can overlap itself.
+    """
+    controls, starts = _controls(t), [m[0] for m in t.marks.values()] + [t.general[0]]
+    sought = [t.end, t.general[1].strip()]
+    wrong = not all(sought) or any(ESCAPE in c for c in controls) or any(a.startswith(b) for i, a in enumerate(starts) for j, b in enumerate(starts) if i != j)
+    wrong = wrong or any(s[:n] == s[-n:] for s in sought for n in range(1, len(s))) or any(t.end in c for c in (t.begin, *starts, *(m[1] for m in t.marks.values()), t.general[1]))
+    free = [c for c in string.ascii_lowercase + string.digits + string.ascii_uppercase if not any(c in k for k in controls)]
+    firsts = [ESCAPE, *sorted({c[0] for c in controls})]
+    if wrong or len(free) < len(firsts):
+        raise ValueError("this template can't be read back")
+    return {first: ESCAPE + code for first, code in zip(firsts, free)}  # noqa: B905 - more letters are free than needed
+
+
+def escape(text: Column, t: Template) -> Column:
+    """No control string is left, and no escape character but those of the escapes."""
+    for first, code in _codes(t).items():
+        if first == ESCAPE:
+            text = F.replace(text, F.lit(first), F.lit(code))
+        else:
+            rests = "|".join(re.escape(c[1:]) for c in _controls(t) if c[0] == first)
+            text = F.regexp_replace(text, f"{re.escape(first)}(?={rests})", re.escape(code))
+    return text
+
+
+def unescape(text: Column, t: Template) -> Column:
+    for first, code in reversed(_codes(t).items()):
+        text = F.replace(text, F.lit(code), F.lit(first))
     return text
 
 
@@ -60,7 +89,7 @@ def _marks(role: Column, t: Template, side: int) -> Column:
     known = F.when(F.lit(False), F.lit(""))
     for name, marks in t.marks.items():
         known = known.when(role == name, F.lit(marks[side]))
-    return known.otherwise(F.lit("") if side else F.concat(F.lit(t.general[0]), escape(role), F.lit(t.general[1])))
+    return known.otherwise(F.lit("") if side else F.concat(F.lit(t.general[0]), escape(role, t), F.lit(t.general[1])))
 
 
 def _segments(turn: Column, t: Template) -> Column:
@@ -69,7 +98,7 @@ def _segments(turn: Column, t: Template) -> Column:
 
     before = F.concat(F.lit(t.begin), _marks(turn["role"], t, 0))
     after = F.concat(_marks(turn["role"], t, 1), F.lit(t.end))
-    return F.array(segment(before, F.lit(False)), segment(escape(turn["text"]), turn["role"].isin(*t.learned)), segment(after, F.lit(False)))
+    return F.array(segment(before, F.lit(False)), segment(escape(turn["text"], t), turn["role"].isin(*t.learned)), segment(after, F.lit(False)))
 
 
 def format_chats(turns: DataFrame, t: Template | None = None) -> DataFrame:
@@ -106,16 +135,17 @@ def read_turns(formatted: Column, t: Template | None = None) -> Column:
         sure = F.when(F.lit(False), F.struct(F.lit("").alias("role"), F.lit("").alias("text")))
         for name, (before, after) in t.marks.items():
             text = F.substring(inner, F.lit(len(before) + 1), F.length(inner) - len(before) - len(after))
-            sure = sure.when(inner.startswith(before), F.struct(F.lit(name).alias("role"), unescape(text).alias("text")))
-        role = F.substring_index(F.substring(inner, len(t.general[0]) + 1, 2_147_483_647), t.general[1].rstrip(), 1)
+            sure = sure.when(inner.startswith(before), F.struct(F.lit(name).alias("role"), unescape(text, t).alias("text")))
+        role = F.substring_index(F.substring(inner, len(t.general[0]) + 1, 2_147_483_647), t.general[1].strip(), 1)
         skip = F.length(role) + len(t.general[0]) + len(t.general[1])
         text = F.substring(inner, skip + 1, F.length(inner))
-        return sure.otherwise(F.struct(unescape(role).alias("role"), unescape(text).alias("text")))
+        return sure.otherwise(F.struct(unescape(role, t).alias("role"), unescape(text, t).alias("text")))
 
-    parts = F.split(formatted, t.end, -1)
+    parts = F.split(formatted, re.escape(t.end), -1)
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), turn)
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, t: Template | None = None) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    t = t or Template()
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], t)), "")
