@@ -39,6 +39,18 @@ def test_sharding_laws(real_docs, n_shards):
         assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
 
 
+def test_sharding_of_large_groups(make_docs, monkeypatch):
+    """A third of all rows are one text, joined in parts; a group is divided only where it exceeds a shard."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 3)
+    texts = ["hot"] * 100 + ["warm"] * 12 + [None, ""] * 4 + [f"own {k}" for k in range(180)]
+    rows = sharding.shard(make_docs(list(enumerate(texts))), 10).toPandas()
+    assert sorted(rows.doc_id) == list(range(len(texts)))
+    assert (rows.groupby("shard").size() == 30).all()
+    assert all(sorted(part.slot) == list(range(30)) for _, part in rows.groupby("shard"))
+    shards_of = lambda text: rows[rows.doc_id.isin([k for k, t in enumerate(texts) if t == text])].shard.nunique()
+    assert shards_of("warm") <= 2 and shards_of("hot") <= 8
+
+
 def test_sharding_keeps_copies_together(make_docs):
     docs = make_docs([(i, f"text {i}") for i in range(300)] + [(1000 + 10 * g + k, f"copy {g}") for g in range(10) for k in range(5)])
     rows = sharding.shard(docs, 5).toPandas()
@@ -273,6 +285,26 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_round_trip_of_another_template(spark):
+    marks = {"user": ("<|user|>\n", ""), "assistant": ("<|bot|>\n", "<|stop|>")}
+    t = chat.Template(begin="(*)", end="<|end|>", marks=marks, general=("{", "}: "))
+    texts = ["<|end|>", "<|user|>\n<|end|>", "(*) .* a+", "{x}: y", "}", "\\a\\b\\c\\0", "<|bot|><|stop|>", "<", None, "<|end|", "[INST] ok </s>"]
+    roles = ["user", "assistant", "tool}: ", "(*)", None, "<|end|>"]
+    data = [(c, k, roles[(c + k) % len(roles)], texts[(c * 3 + k) % len(texts)]) for c in range(12) for k in range(11)]
+    out = chat.format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), t)
+    out = out.withColumn("turns", chat.read_turns(F.col("formatted"), t)).withColumn("learned", chat.loss_text(F.col("segments"), t)).collect()
+    for r in out:
+        own = [(role or "", text or "") for c, _, role, text in data if c == r.conv_id]
+        assert [(x["role"], x["text"]) for x in r.turns] == own
+        assert r.learned == "".join(text for role, text in own if role == "assistant")
+
+
+@pytest.mark.parametrize("wrong", [{"end": ""}, {"end": "aba"}, {"begin": "\\x"}, {"begin": "x</s>"}, {"general": ("[INST] x", "] ")}, {"general": ("", "]")}])
+def test_chat_refuses_templates_that_cannot_be_read_back(spark, wrong):
+    with pytest.raises(ValueError, match="read back"):
+        chat.escape(F.lit("x"), chat.Template(**wrong))
+
+
 def test_machine(spark):
     cases = {"sua": None, "ua": None, "uaua": None, "u": None, "a": 0, "uu": 1, "uas": 2, "usa": 1, "ss": 1}
     names = {"s": "system", "u": "user", "a": "assistant"}
