@@ -35,10 +35,12 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir,
-    or a folder of our own where that is unset (tests on one machine)."""
+    or a folder of our own where that is unset on one machine. On a cluster it must be set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wordmill-shared-"))
     return sc.getCheckpointDir()
 
