@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 from wordmill.functions.registry import FILTERS, NORMALIZERS, TOKENIZERS
-from wordmill.plans.analyzers import Builder, analyzer, analyzer_names, available, from_names
+from wordmill.plans.analyzers import Builder, analyzer, analyzer_names, available, from_names, register_sql
 from wordmill.tokens import max_position, total_span
 
 TEXT = "The cats' naïve İ straße ran http://x.y/z 日本 😀\tend"
@@ -77,3 +77,11 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.sql("select window_start, term, max(n) n from terms_by_day group by 1, 2")
     want = windowed_terms(docs, "ts", "event_type", "1 day")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sql_functions(spark, texts):
+    register_sql(spark)
+    texts.createOrReplaceTempView("sql_texts")
+    rows = spark.sql("select text, analyze_whitespace(text) as words, analyze_standard(text) as terms, analyze_keyword(text) as whole from sql_texts").collect()
+    assert rows[0].words == TEXT.split() and rows[0].whole == [TEXT] and "straße" in rows[0].terms
+    assert rows[1].words == [] and rows[2].words is None and rows[2].terms is None

@@ -11,12 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as _functions
 from ..data.stopwords import WORDS
 from ..functions.registry import ANALYZERS, FILTERS, NORMALIZERS, TOKENIZERS
+from ..shipping import ship
 from ..tokens import chain, terms, unique_terms
 
 Part = tuple[str, dict[str, Any]]
@@ -188,10 +190,19 @@ def available(name: str) -> bool:
 
 
 def register_sql(spark: SparkSession, names: list[str] | None = None) -> None:
-    """SQL functions analyze_<name>(text): arrays of terms, for use where a column expression can't be."""
-    for name in names or ["whitespace", "letter"]:
-        scan = TOKENIZERS[name]().scan
-        spark.udf.register(f"analyze_{name}", lambda text, scan=scan: None if text is None else [t for t, *_ in scan(text)], "array<string>")
+    """SQL functions analyze_<name>(text): the terms of each tokenizer named (all of them if none is), in
+    Arrow batches; null gives null. For use where a column expression can't be."""
+    ship(spark)
+    for name in names or sorted(TOKENIZERS):
+        spark.udf.register(f"analyze_{name}", _sql_function(TOKENIZERS[name]().scan))
+
+
+def _sql_function(scan):
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: None if text is None else [term for term, *_ in scan(text)])
+
+    return run
 
 
 __all__ = ["_functions"]
