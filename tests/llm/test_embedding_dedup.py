@@ -60,6 +60,51 @@ def test_hot_copies_blocks_and_odd_rows(spark, monkeypatch):
     assert ed.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_trees_grow_with_the_table():
+    """Leaves of a table far larger than the sample stay small."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ed.grow(x[:1000], len(x), trees=1, leaf=32)
+    _, leaf = forest.leaves(x)
+    assert forest.depth == 11 and np.bincount(leaf).max() < len(x) / 16
+
+
+def test_near_copies_are_not_copied_at_every_split():
+    rng = np.random.default_rng(4)
+    x = np.ones(32) + 1e-4 * rng.standard_normal((4096, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    row, _ = ed.grow(x, len(x)).leaves(x)
+    assert len(row) < 2 * ed.TREES * len(x)
+
+
+def test_leaves_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ed.grow(x, len(x), leaf=16)
+    whole = sorted(zip(*(c.tolist() for c in forest.leaves(x)), strict=True))
+    parts = [(i + k, leaf) for i in range(0, 3000, 7) for k, leaf in zip(*(c.tolist() for c in forest.leaves(x[i : i + 7])), strict=True)]
+    assert whole == sorted(parts)
+
+
+def test_rounds_nodes_and_leaves_that_travel_alone(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 40)
+    monkeypatch.setattr(ed, "ROUND", 1)
+    monkeypatch.setattr(ed, "PAIRS", 50)
+    monkeypatch.setattr(ed.grow, "__defaults__", (ed.TREES, 16, 40, ed.SPILL, 7))
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 16))
+    x[:200] = x[200] + 0.01 * rng.standard_normal((200, 16))  # near copies: one leaf of several blocks
+    x[300:400] = x[400:500] + 0.2 * rng.standard_normal((100, 16))
+    x = x.astype(np.float32)
+    unit = ed.unit_rows(x)
+    forest = ed.grow(unit, len(x), leaf=16)
+    plan = ed.deal(forest, unit, len(x), 16 * 4 + 16)
+    assert plan.rounds > 1 and 0 < plan.top < forest.depth and plan.hot.any() and not plan.hot.all()
+    check(spark, list(zip(rng.permutation(600).tolist(), x.tolist(), strict=True)), leaf=16)
+
+
 @pytest.mark.parametrize("n", [1, 50])
 def test_spanning(n):
     rng = np.random.default_rng(n)
