@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,19 +45,48 @@ def _byte_starts(text: str) -> np.ndarray | None:
     return np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64))])
 
 
+#: Tokens that a worker holds before it hands them on. Those of one text stay together.
+HELD = 50_000
+
+
+class Held:
+    """Texts' tokens as flat columns, no object for each token, until they are handed on as one Arrow array."""
+
+    def __init__(self):
+        self.lengths: list[int | None] = []
+        self.terms: list[str] = []
+        self.numbers: list[np.ndarray] = []  # of each text: starts, ends and positions
+
+    def add(self, text: str | None, scan: Scanner) -> None:
+        found = None if text is None else scan(text)
+        self.lengths.append(None if found is None else len(found))
+        if found:
+            terms, *numbers = zip(*found, strict=True)
+            self.terms += terms
+            self.numbers.append(made := np.array(numbers, np.int32))
+            if (at := _byte_starts(text)) is not None:
+                made[:2] = at[made[:2]]
+
+    def array(self) -> pa.Array:
+        numbers = np.concatenate(self.numbers, axis=1) if self.numbers else np.zeros((3, 0), np.int32)
+        parts = [pa.array(self.terms, pa.string()), *map(pa.array, numbers)]
+        ends = np.cumsum([0, *(n or 0 for n in self.lengths)]).astype(np.int32)
+        gone = pa.array([n is None for n in self.lengths])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["term", "start_offset", "end_offset", "position"]), mask=gone)
+
+
 def _scanned(scan: Scanner):
-    @F.pandas_udf(TOKENS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(TOKENS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = []
+            held = Held()
             for text in texts:
-                if text is None:
-                    out.append(None)
-                    continue
-                at = _byte_starts(text)
-                put = (lambda k: k) if at is None else (lambda k, at=at: int(at[k]))
-                out.append([{"term": t, "start_offset": put(a), "end_offset": put(b), "position": p} for t, a, b, p in scan(text)])
-            yield pd.Series(out, dtype=object)
+                held.add(text.as_py(), scan)
+                if len(held.terms) >= HELD:
+                    yield held.array()
+                    held = Held()
+            if held.lengths:
+                yield held.array()
 
     return run
 
