@@ -9,7 +9,7 @@ from wordmill.functions.registry import TOKENIZERS
 from wordmill.plans import queries as core
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = ["tok_whitespace"]
+QUERIES = "tok_whitespace flt_common_grams".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)
