@@ -9,7 +9,7 @@ from wordmill.functions.registry import TOKENIZERS
 from wordmill.plans import queries as core
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = "tok_whitespace flt_common_grams flt_common_grams_query flt_concatenate_graph flt_limit flt_limit_token_offset flt_limit_token_position".split()
+QUERIES = "tok_whitespace flt_common_grams flt_common_grams_query flt_concatenate_graph flt_limit flt_limit_token_offset flt_limit_token_position flt_fingerprint".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)
