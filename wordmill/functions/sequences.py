@@ -187,14 +187,21 @@ def fingerprint(separator: str = " ", max_bytes: int = 1024) -> Filter:
     return lambda tokens: let(tokens, run)
 
 
+def _running_max(values: Column) -> Column:
+    """The greatest of the values so far; those out of order are met in rounds, each looking twice as far back."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int") - 1)
+    back = lambda i, k: i - F.pow(F.lit(2), k).cast("int")
+    met = F.aggregate(rounds, values, lambda a, k: F.transform(a, lambda x, i: F.when(back(i, k) >= 0, F.greatest(x, F.get(a, F.greatest(back(i, k), F.lit(0))))).otherwise(x)))
+    return F.when(F.sort_array(values) == values, values).otherwise(met)
+
+
 @token_filter()
 def fix_broken_offsets() -> Filter:
     """Tokens start no earlier than the one before ended, and end no earlier than they start."""
 
     def run(ts: Column) -> Column:
-        ends = F.transform(ts, lambda t: F.greatest(t["start_offset"], t["end_offset"]))
-        # the end of a token is the greatest start or end so far: running maxima, in order
-        running = F.aggregate(ends, F.array().cast("array<int>"), lambda a, e: F.concat(a, F.array(F.greatest(e, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))))
+        # the end of a token is the greatest start or end so far
+        running = let(F.transform(ts, lambda t: F.greatest(t["start_offset"], t["end_offset"], F.lit(0))), _running_max)
         return let(running, lambda r: F.transform(ts, lambda t, i: token(t["term"], F.greatest(t["start_offset"], F.when(i > 0, F.get(r, F.greatest(i - 1, F.lit(0)))).otherwise(0)), F.get(r, i), t["position"])))
 
     return lambda tokens: let(tokens, run)
