@@ -95,10 +95,10 @@ def remove_duplicates() -> Filter:
     return lambda tokens: let(tokens, lambda ts: let(_first_at(keys(ts)), lambda first: F.filter(ts, lambda t, i: F.get(first, i))))
 
 
-def joined(ts: Column, first: Column, size: Column | int, separator: str) -> Column:
+def joined(ts: Column, first: Column, size: int, separator: str) -> Column:
     """The token made of `size` tokens from number `first` (from 0) on."""
-    part = F.slice(ts, first + 1, F.lit(size) if isinstance(size, int) else size)
-    return let(part, lambda p: token(F.array_join(terms(p), separator), F.get(p, F.lit(0))["start_offset"], F.element_at(p, -1)["end_offset"], F.get(p, F.lit(0))["position"]))
+    start, end = F.get(ts, first), F.get(ts, first + (size - 1))
+    return token(F.concat_ws(separator, *[F.get(ts, first + k)["term"] for k in range(size)]), start["start_offset"], end["end_offset"], start["position"])
 
 
 @token_filter()
