@@ -213,9 +213,16 @@ def flatten_graph() -> Filter:
 
     def run(ts: Column) -> Column:
         keyed = F.transform(ts, lambda t, i: F.struct(t["position"].alias("p"), (t["start_offset"] - t["end_offset"]).alias("s"), i.alias("i"), t.alias("t")))
-        places = F.array_sort(F.array_distinct(F.transform(ts, lambda t: t["position"])))
-        sorted_ = F.transform(F.array_sort(keyed), lambda x: x["t"])
-        return let(places, lambda p: F.transform(sorted_, lambda t: token(t["term"], t["start_offset"], t["end_offset"], F.array_position(p, t["position"]) - 1)))
+        at = lambda xs, j: F.get(xs, F.greatest(j, F.lit(0)))["p"]
+
+        def renumbered(xs: Column) -> Column:
+            n = F.size(xs)
+            heads = F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j == 0) | ~at(xs, j).eqNullSafe(at(xs, j - 1)))  # the first token of each position
+            unplaced = at(xs, F.lit(0)).isNull().cast("int")  # tokens without a position come first and have no number
+            group = lambda hs, h, g: F.transform(F.slice(xs, h + 1, F.coalesce(F.get(hs, g + 1), n) - h), lambda x: token(x["t"]["term"], x["t"]["start_offset"], x["t"]["end_offset"], F.when(x["p"].isNotNull(), g - unplaced)))
+            return F.when(n > 0, let(heads, lambda hs: F.flatten(F.transform(hs, lambda h, g: group(hs, h, g))))).when(n == 0, F.array().cast(TOKENS))
+
+        return let(F.sort_array(keyed), renumbered)
 
     return lambda tokens: let(tokens, run)
 
