@@ -83,9 +83,9 @@ def unique(only_on_same_position: bool = False) -> Filter:
 
 def _first_at(keys: Column) -> Column:
     """For each element whether it is the first of its kind: by sorting, not by pairwise search."""
-    ordered = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    ordered = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
     marked = let(ordered, lambda o: F.transform(o, lambda x, j: F.struct(x["i"].alias("i"), ((j == 0) | (F.get(o, F.greatest(j - 1, F.lit(0)))["k"] != x["k"])).alias("first"))))
-    return F.transform(F.array_sort(marked), lambda x: x["first"])
+    return F.transform(F.sort_array(marked), lambda x: x["first"])
 
 
 @token_filter()
