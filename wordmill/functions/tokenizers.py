@@ -315,9 +315,23 @@ def microblog(strip_prefixes: bool = False) -> Tokenizer:
 # White-space words and their parts.
 
 
-def _by_word(parts: Callable[[str], list[tuple[int, int]]], same: bool) -> Tokenizer:
+Parts = Callable[[str], list[tuple[int, int]]]
+
+
+def _by_word(parts: Parts, same: bool) -> Tokenizer:
     """parts: spans within a word."""
-    return Tokenizer(lambda text: spread([[(a + x, a + y) for x, y in parts(text[a:b])] for a, b in words(text)], text, same))
+
+    def scan(text: str) -> list[Found]:
+        out: list[Found] = []
+        position = 0
+        for a, b in words(text):
+            for x, y in parts(text[a:b]):
+                out.append((text[a + x : a + y], a + x, a + y, position))
+                position += not same
+            position += same
+        return out
+
+    return Tokenizer(scan)
 
 
 IDENTIFIER_PARTS = _pattern(r"\p{IsUppercase}+(?!\p{IsLowercase})|\p{IsUppercase}?[\p{IsLowercase}]+|[0-9]+|[^\p{IsUppercase}\p{IsLowercase}0-9_]+|\p{IsUppercase}")
@@ -326,6 +340,8 @@ IDENTIFIER_PARTS = _pattern(r"\p{IsUppercase}+(?!\p{IsLowercase})|\p{IsUppercase
 @tokenizer()
 def camel_case(preserve_original: bool = False) -> Tokenizer:
     def parts(word: str) -> list[tuple[int, int]]:
+        if word.isascii() and word.isalpha() and word[1:].islower():  # one part
+            return [(0, len(word))]
         found = [m.span() for m in IDENTIFIER_PARTS.finditer(word)]
         return [(0, len(word))] if len(found) <= 1 else found
 
