@@ -610,10 +610,11 @@ def email(preserve_original: bool = True, split_local: bool = True, split_domain
 def code(split_dots: bool = True, include_operators: bool = False) -> Tokenizer:
     """Contents of string literals, numbers, identifiers, and operators where asked for."""
     dot = "" if split_dots else "."
-    made = _pattern(rf"(?s)(?P<q>[\"'`])(?P<text>(?:\\.|(?!(?P=q))[^\\])*)(?:(?P=q)|\\?$)|(?P<op>[+\-*/%=!<>&|^~]+)|(?P<num>0[xX][0-9a-fA-F]*|[0-9][0-9._]*)|(?P<id>[{WORD}_{dot}]+)")
+    strings = "|".join(rf"{q}((?:[^\\{q}]+|\\.)*+)(?:{q}|\\?$)" for q in "\"'`")
+    made = _pattern(rf"(?s)([+\-*/%=!<>&|^~]+)|(0[xX][0-9a-fA-F]*|[0-9][0-9._]*)|([{WORD}_{dot}]+)|{strings}")
 
     def scan(text: str) -> list[Found]:
-        spans = [m.span(m.lastgroup if m.lastgroup != "q" else "text") for m in made.finditer(text) if include_operators or not m["op"]]
+        spans = [m.span(kind) for m in made.finditer(text) if (kind := m.lastindex) != 1 or include_operators]
         return [(text[a:b], a, b, k) for k, (a, b) in enumerate((a, b) for a, b in spans if b > a)]
 
     return Tokenizer(scan)
