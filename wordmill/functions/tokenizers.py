@@ -439,11 +439,13 @@ def sliding_window(min_size: int = 3, max_size: int = 5, preserve_original: bool
 def compound_word(dictionary: tuple[str, ...] = (), min_sub: int = 3, max_sub: int = 20, min_word: int = 5) -> Tokenizer:
     """A word, and its dictionary words, longest first from the left, when there are two or more."""
     known = {w.lower() for w in dictionary}
+    usual = sorted({len(w) for w in known if min_sub <= len(w) <= max_sub}, reverse=True)
 
     def parts(word: str) -> list[tuple[int, int]]:
-        found, at = [], 0
-        while len(word) >= min_word and at < len(word):
-            end = next((e for e in range(min(at + max_sub, len(word)), at + min_sub - 1, -1) if word[at:e].lower() in known), 0)
+        found, at, n = [], 0, len(word)
+        sizes = range(max_sub, min_sub - 1, -1) if "İ" in word else usual  # no other character has a lower case of another length
+        while sizes and n >= min_word and at < n:
+            end = next((at + k for k in sizes if at + k <= n and word[at : at + k].lower() in known), 0)
             if end:
                 found.append((at, end))
             at = end or at + 1
