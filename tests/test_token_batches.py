@@ -13,7 +13,7 @@ from wordmill.plans import queries as core
 from wordmill.tokens import TOKENS
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = "tok_whitespace flt_common_grams flt_common_grams_query flt_concatenate_graph flt_limit flt_limit_token_offset flt_limit_token_position flt_fingerprint flt_fix_broken_offsets flt_fixed_shingle flt_flatten_graph flt_remove_duplicates flt_shingle tok_wildcard flt_unique tok_burmese tok_camel_case tok_char_group tok_chinese_char tok_classic tok_code tok_compound_word tok_elision".split()
+QUERIES = "tok_whitespace flt_common_grams flt_common_grams_query flt_concatenate_graph flt_limit flt_limit_token_offset flt_limit_token_position flt_fingerprint flt_fix_broken_offsets flt_fixed_shingle flt_flatten_graph flt_remove_duplicates flt_shingle tok_wildcard flt_unique tok_burmese tok_camel_case tok_char_group tok_chinese_char tok_classic tok_code tok_compound_word tok_elision tok_email".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)
