@@ -314,7 +314,6 @@ def microblog(strip_prefixes: bool = False) -> Tokenizer:
 
 # White-space words and their parts.
 
-
 Parts = Callable[[str], list[tuple[int, int]]]
 
 
